@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,7 +273,7 @@ BATCH_CHARS = 2_000_000
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with about BATCH_CHARS bytes of text each, and their texts."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
         if total and total + n > BATCH_CHARS:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.bpe import byte_codec, chunks, list_of_ids
 
@@ -178,4 +179,4 @@ def rendered(formatted: DataFrame, tokenizer: str) -> DataFrame:
             shown = [b"".join([table[i] for i in ids]).decode() for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], [*batch.schema.names, "formatted"])
 
-    return formatted.mapInArrow(show, formatted.schema.add("formatted", "string"))
+    return formatted.mapInArrow(show, T.StructType([*formatted.schema.fields, T.StructField("formatted", T.StringType())]))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.langid import slices
 
@@ -360,7 +361,7 @@ def extract_main_text(df: DataFrame, html: str = "html", model: TreeField | None
     names = [c for c in df.columns if c not in (html, "text")]
     kept = df.select(*[F.col(f"`{c}`") for c in names])
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(html).cast("string").alias("__html"))
-    schema = kept.schema.add("text", "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_ = shared.value

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Buckets of the n-gram hash, and the lengths of n-grams in UTF-8 bytes.
 BUCKETS, GRAMS = 1 << 15, (3, 4)
@@ -118,7 +119,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in names])
-    schema = source.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.langid import slices
 
@@ -201,7 +202,7 @@ def score_quality(df: DataFrame, field: LineField, text: str = "text") -> DataFr
     shared = df.sparkSession.sparkContext.broadcast(field)
     names = [c for c in df.columns if c not in ("score", "predicted")]
     source = df.select(*[F.col(f"`{c}`") for c in names])
-    schema = source.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
