@@ -7,9 +7,11 @@ each, and the frequent ones, dealt into small classes by hash, cover one less th
 prefix are indexed one by one, frequent ones as combinations of two of a class, and prefixes are extended until they cover t + 1.
 Two linked sets then share an indexed token or combination; whatever shares one is verified on whole sets.
 
-The members of an index entry are compared with its first member, the verified links are made into components, and then all
-members whose components still differ.  No link between different components is missed, and a group of thousands of near copies costs
-a comparison for each, not for each pair.
+The first member of an index entry is its hub.  Members are compared with their hubs, and the verified links are made into
+components.  Two linked sets share an entry, so both are members of that entry's hub; what is left to compare are members of one hub
+whose components differ.  That is done in blocks, by products of token incidence matrices, and blocks are left out whose distances to
+the hub differ by more than linked sets' may (Jaccard distance is a metric).  No pair is ever a row, and no link between
+different components is missed.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from corpusloom.llm.workspace import Workspace
 
 WORDS, SIMILAR = 5, 75
 #: Counters of the sketch: so many a document, between these powers of two; each task's part is a slice a row.
-SKETCH_PER_DOC, SKETCH_BITS, SLICE_BITS = 16, (16, 24), 14
+SKETCH_PER_DOC, SKETCH_BITS, SLICE_BITS = 64, (16, 24), 16
 #: A token counts as frequent when its counter exceeds the mean of all by this much, and by this factor.
 FREQUENT_ABOVE, FREQUENT_TIMES = 48, 3
-#: Members of a group that are verified against one document in one task.
-VERIFY_GROUP = 512
+#: Members of a hub that one task compares with it, and documents and shingles of one block.
+VERIFY_GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 512, 256, 500_000
+#: Bands of distance to a hub that large hubs' blocks are cut by.
+BANDS = 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -160,6 +164,25 @@ def _byte_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> I
         total += n
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    """Which counters are above nothing, as bits, and those counters, saturated at 65,535; compressed."""
+    import zlib
+
+    some = counters > 0
+    small = np.minimum(counters[some], 65_535).astype("<u2")
+    return zlib.compress(np.packbits(some).tobytes() + small.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    import zlib
+
+    data = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    some = np.unpackbits(data[: width // 8]).astype(bool)
+    out = np.zeros(width, dtype=np.uint32)
+    out[some] = np.ascontiguousarray(data[width // 8 :].reshape(2, -1).T).view("<u2").ravel()
+    return out
+
+
 def _describe(docs: DataFrame, bits: int) -> DataFrame:
     """For each row its set's size and fingerprint; and each task's sketch, in slices."""
     slices = 1 << max(0, bits - SLICE_BITS)
@@ -177,9 +200,9 @@ def _describe(docs: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(sets), pa.int32()), part["k"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], names
                 )
-        small = np.minimum(sketch, 65_535).astype("<u2").reshape(slices, -1)
-        used = [k for k in range(slices) if small[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array([small[k].tobytes() for k in used], pa.binary())], names)
+        each = sketch.reshape(slices, -1)
+        used = [k for k in range(slices) if each[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array([_packed(each[k]) for k in used], pa.binary())], names)
 
     return docs.mapInArrow(run, "slice int, k long, n long, f binary, counters binary")
 
@@ -187,16 +210,17 @@ def _describe(docs: DataFrame, bits: int) -> DataFrame:
 def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
     """The sum of all tasks' sketches, saturated at 65,535: a fixed number of counters, whatever the corpus."""
 
+    width = 1 << min(bits, SLICE_BITS)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch["slice"].to_pylist(), batch["counters"].to_pylist()):
-                x = np.frombuffer(raw, dtype="<u2").astype(np.uint32)
+                x = _unpacked(raw, width)
                 total[k] = np.minimum(total[k] + x, 65_535) if k in total else x
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([v.astype("<u2").tobytes() for v in total.values()], pa.binary())], ["slice", "counters"])
 
     out = np.zeros(1 << bits, dtype=np.uint16)
-    width = 1 << min(bits, SLICE_BITS)
     for r in parts.select("slice", "counters").repartition("slice").mapInArrow(add, "slice int, counters binary").toLocalIterator():
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counters"], dtype="<u2")
     return out
@@ -244,10 +268,15 @@ def _postings(docs: DataFrame, sketch: np.ndarray, bits: int, similar: int) -> D
     return entries.mapInArrow(gather, "sig long, k long, head long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough, counted on whole texts of ``docs`` (k, t).
+def _linked(common: int, a: int, b: int, similar: int) -> bool:
+    return common > 0 and 100 * common >= similar * (a + b - common)
 
-    Partners of a document are dealt into groups of about VERIFY_GROUP; its text goes once to each, theirs once a pair.
+
+def measured(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """``pairs`` (a, b) with ``distance`` (1 - Jaccard) and ``linked``, counted on whole texts of ``docs`` (k, t).
+
+    b is the hub: its members are dealt into groups of about VERIFY_GROUP; its text goes once to each, theirs once a pair.  Of rows
+    that share a key the nearest ones count.
     """
     degree = pairs.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("m")).select("hub", F.ceil(F.col("m") / F.lit(VERIFY_GROUP)).cast("int").alias("groups"))
     dealt = pairs.join(degree, F.col("b") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("g"))
@@ -258,22 +287,105 @@ def verified(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataF
         hub, hub_sets, fresh = None, [], False  # rows that share the hub's key have a set each
         for batch in batches:
             for part, raw in _byte_slices(batch, "t"):
-                sets = shingle_sets(raw)
-                a, b = [], []
-                for to, role, k, s in zip(part["b"].to_pylist(), part["role"].to_pylist(), part["k"].to_pylist(), sets):
+                rows = []
+                for to, role, k, s in zip(part["b"].to_pylist(), part["role"].to_pylist(), part["k"].to_pylist(), shingle_sets(raw)):
                     if role == 0:
                         hub_sets = [*(hub_sets if hub == to and fresh else []), s]
                         hub, fresh = to, True
                         continue
                     fresh = False
+                    found = []
                     for against in hub_sets if hub == to else []:
                         common = len(np.intersect1d(s, against, assume_unique=True))
-                        if 100 * common >= similar * (len(s) + len(against) - common) and common:
-                            a.append(k)
-                            b.append(to)
-                            break
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        found.append((1 - common / max(1, len(s) + len(against) - common), _linked(common, len(s), len(against), similar)))
+                    if found:
+                        rows.append((k, to, min(f[0] for f in found), any(f[1] for f in found)))
+                if rows:
+                    a, b, d, linked = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+
+    return texts.mapInArrow(compare, "a long, b long, distance double, linked boolean")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of their incidence matrices over the tokens that both lists have."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (left, right))
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return out.astype(np.int64)
+    sides = []
+    for sets, tokens in ((left, a), (right, b)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+        keep = both[at] == tokens
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((owner[keep][order], at[keep][order]))
+    for low in range(0, len(both), columns):
+        width = min(columns, len(both) - low)
+        made = []
+        for (owner, at), sets in zip(sides, (left, right)):
+            i, j = np.searchsorted(at, [low, low + width])
+            x = np.zeros((len(sets), width), dtype=np.float32)
+            x[owner[i:j], at[i:j] - low] = 1
+            made.append(x)
+        out += made[0] @ made[1].T
+    return out.astype(np.int64)
+
+
+def across(docs: DataFrame, members: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links (a, b) between members of one hub that are in different components.
+
+    members: hub ``h``, document ``x``, its ``distance`` to the hub, its component ``p``, the hub's component ``hp``, its set's size ``n``; the
+    hub itself is one of them.  A hub with few members is one block.  Members of a larger one are cut by whether they are in the hub's
+    component, by band of distance, and by hash; two blocks meet if their bands may hold a link and their components differ.
+    """
+    total = members.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("p").alias("p0"), F.max("p").alias("p1"))
+    total = total.where((F.col("m") > 2) & (F.col("p0") < F.col("p1"))).select(F.col("h").alias("th"), ((F.col("m") <= BLOCK_DOCS) & (F.col("s") <= BLOCK_SHINGLES)).alias("small"))
+    rows = members.join(total, F.col("h") == F.col("th")).select("h", "x", "p", "n", F.when(F.col("small"), 0).otherwise(F.when(F.col("p") == F.col("hp"), 0).otherwise(BANDS + 1) + F.floor(F.col("distance") * BANDS)).cast("int").alias("cell"))
+    parts = rows.groupBy("h", "cell").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"), F.min("p").alias("p0"), F.max("p").alias("p1"))
+    blocks = parts.select("h", "cell", "p0", "p1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    block = F.struct("cell", "part")
+    left = blocks.select("h", block.alias("i"), F.col("p0").alias("i0"), F.col("p1").alias("i1"))
+    right = blocks.select(F.col("h").alias("h2"), block.alias("j"), F.col("p0").alias("j0"), F.col("p1").alias("j1"))
+    band = lambda c: F.pmod(c, F.lit(BANDS + 1))
+    reach = int(np.ceil((100 - similar) / 100 * BANDS)) + 1
+    same = (F.col("i0") == F.col("i1")) & (F.col("j0") == F.col("j1")) & (F.col("i0") == F.col("j0"))
+    meet = left.join(right, (F.col("h") == F.col("h2")) & (F.col("i") <= F.col("j")) & (F.abs(band(F.col("i.cell")) - band(F.col("j.cell"))) <= reach) & ~same).select("h", "i", "j")
+    seats = meet.select("h", F.col("i").alias("block"), "i", "j", F.lit(0).alias("role")).unionByName(meet.where("i <> j").select("h", F.col("j").alias("block"), "i", "j", F.lit(1).alias("role")))
+    placed = rows.join(parts.select(F.col("h").alias("ph"), F.col("cell").alias("pc"), "parts"), (F.col("h") == F.col("ph")) & (F.col("cell") == F.col("pc")))
+    placed = placed.select("h", "x", "p", F.struct("cell", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part")).alias("block"))
+    seated = placed.join(seats.withColumnRenamed("h", "sh").withColumnRenamed("block", "sb"), (F.col("h") == F.col("sh")) & (F.col("block") == F.col("sb"))).select("h", "i", "j", "role", "x", "p")
+    texts = docs.join(seated, F.col("k") == F.col("x")).select("h", F.concat_ws("-", "i.cell", "i.part", "j.cell", "j.part").alias("g"), "role", "k", "p", "t")
+    texts = texts.repartition("h", "g").sortWithinPartitions("h", "g", "role", "k")
+
+    def solve(held: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[r for r in held if r[0] == role] for role in (0, 1)]
+        one = not sides[1]
+        if one:
+            sides[1] = sides[0]
+        common = overlaps(*[[r[3] for r in side] for side in sides])
+        (pa_, na), (pb, nb) = ((np.array([r[2] for r in side]), np.array([len(r[3]) for r in side])) for side in sides)
+        hit = (100 * common >= similar * (na[:, None] + nb[None] - common)) & (common > 0) & (pa_[:, None] != pb[None])
+        return [(sides[0][i][1], sides[1][j][1]) for i, j in zip(*np.nonzero(hit)) if not one or i < j]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def links() -> pa.RecordBatch | None:
+            found = solve(held) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]) if found else None
+
+        for batch in batches:
+            for part, raw in _byte_slices(batch, "t"):
+                for h, g, role, k, p, s in zip(*(part[c].to_pylist() for c in ("h", "g", "role", "k", "p")), shingle_sets(raw)):
+                    if (h, g) != group:
+                        if out := links():
+                            yield out
+                        group, held = (h, g), []
+                    held.append((role, k, p, s))
+        if out := links():
+            yield out
 
     return texts.mapInArrow(compare, "a long, b long")
 
@@ -301,32 +413,27 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     classes = filled.groupBy("f").agg(F.min("k").alias("c"), F.first("n").alias("n"))
     members = work.table(filled.select("k", "f").join(classes, "f").select("k", "c", "n").distinct())
 
-    rep = lambda k, c, n: members.select(F.col("k").alias(k), F.col("c").alias(c), F.col("n").alias(n))
-    sizes_fit = lambda x, y: (100 * F.least(x, y) >= similar * F.greatest(x, y))
+    rep = lambda k, c: members.select(F.col("k").alias(k), F.col("c").alias(c))
     star = postings.where("k != head").select("k", "head").distinct()
-    star = star.join(rep("k1", "a", "na"), F.col("k") == F.col("k1")).join(rep("k2", "b", "nb"), F.col("head") == F.col("k2"))
-    tested = work.table(star.where((F.col("a") != F.col("b")) & sizes_fit(F.col("na"), F.col("nb"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    star = star.join(rep("k1", "a"), F.col("k") == F.col("k1")).join(rep("k2", "b"), F.col("head") == F.col("k2"))
+    star = work.table(star.where("a != b").select("a", "b").distinct())
+    work.drop(postings)
+    near = work.table(measured(with_key, star, similar))
     same_key = members.groupBy("k").agg(F.min("c").alias("b"), F.collect_set("c").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
-    first = work.table(verified(with_key, tested, similar).unionByName(members.select(F.col("k").alias("a"), F.col("c").alias("b"))).unionByName(same_key).where("a != b"))
-    early = work.table(components(first, work))
-
-    entry = postings.join(rep("k1", "c", "n"), F.col("k") == F.col("k1")).select("sig", "c", "n").distinct()
-    entry = work.table(entry.join(early, F.col("c") == F.col("node"), "left").select("sig", "c", "n", F.coalesce("component", "c").alias("p")))
-    kinds = entry.select("sig", "p").distinct()
-    mixed = kinds.groupBy("sig").agg(F.count("*").alias("parts")).where("parts > 1").select("sig")
-    kinds = kinds.join(mixed, "sig")
-    meet = kinds.join(kinds.select(F.col("sig").alias("s2"), F.col("p").alias("p2")), (F.col("sig") == F.col("s2")) & (F.col("p") < F.col("p2"))).select("sig", "p", "p2")
-    left = entry.select(F.col("sig").alias("s1"), F.col("p").alias("q1"), F.col("c").alias("c1"), F.col("n").alias("n1"))
-    right = entry.select(F.col("sig").alias("s2"), F.col("p").alias("q2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-    across = meet.join(left, (F.col("sig") == F.col("s1")) & (F.col("p") == F.col("q1"))).join(right, (F.col("sig") == F.col("s2")) & (F.col("p2") == F.col("q2")) & sizes_fit(F.col("n1"), F.col("n2")))
-    across = across.select(F.greatest("c1", "c2").alias("a"), F.least("c1", "c2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    across = work.table(across)
-    if across.limit(1).count():
-        more = verified(with_key, across, similar)
-        parts = early.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = work.table(components(first.select("a", "b").unionByName(more).unionByName(parts), work))
+    links = work.table(near.where("linked").select("a", "b").unionByName(members.select(F.col("k").alias("a"), F.col("c").alias("b"))).unionByName(same_key).where("a != b"))
+    early = work.table(components(links, work))
+
+    part = lambda node, name: early.select(F.col("node").alias(node), F.col("component").alias(name))
+    size = members.where("k = c").groupBy("c").agg(F.max("n").alias("n"))
+    hubs = near.select(F.col("b").alias("x")).distinct()
+    around = near.select(F.col("b").alias("h"), F.col("a").alias("x"), "distance").unionByName(hubs.select(F.col("x").alias("h"), "x", F.lit(0.0).alias("distance")))
+    around = around.join(part("n1", "p1"), F.col("x") == F.col("n1"), "left").join(part("n2", "p2"), F.col("h") == F.col("n2"), "left").join(size, F.col("x") == F.col("c"))
+    around = work.table(around.select("h", "x", "distance", F.coalesce("p1", "x").alias("p"), F.coalesce("p2", "h").alias("hp"), "n"))
+    more = work.table(across(with_key, around, similar))
+    if more.limit(1).count():
+        labels = work.table(components(links.unionByName(more).unionByName(early.select(F.col("node").alias("a"), F.col("component").alias("b"))), work))
     else:
         labels = early
     out = info.join(labels, F.col("k") == F.col("node"), "left").select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "k")).alias("component_id"))
-    work.drop(postings, tested, entry, across, members, first)
+    work.drop(star, near, links, around, more, members)
     return out.withColumnRenamed("doc_id", key)
