@@ -144,7 +144,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 400_000) -> Iterator[
     """Slices of a batch of at most about ``most`` bytes of text, a longer text being a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(pc.cast(batch[column], pa.string())), 0).to_pylist()
     begin, total = 0, 0
-    for k, n in enumerate([*sizes, most]):
+    for k, n in enumerate([*sizes, float("inf")]):
         if k > begin and total + n > most:
             part = batch.slice(begin, k - begin)
             yield part, part[column].to_pylist()

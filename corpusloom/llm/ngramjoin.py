@@ -156,7 +156,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int, simil
 def _byte_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
     begin, total = 0, 0
-    for k, n in enumerate([*sizes, most]):
+    for k, n in enumerate([*sizes, float("inf")]):
         if k > begin and total + n > most:
             part = batch.slice(begin, k - begin)
             yield part, part[column].to_pylist()
