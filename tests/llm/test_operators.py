@@ -1,0 +1,432 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy; and on odd tables."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import bpe, chat, html, html_pages, langid, linededup, merkle, ngramjoin, packing, quality, topk
+from corpusloom.llm.components import components
+from corpusloom.llm.queries import tokenizer_file
+from corpusloom.llm.workspace import Workspace
+
+BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
+ODD = [None, "", "  ", "\x1c a\x1db \x85 x\xa0y", "²³ ½ 1²", "İstanbul ΣΑΣ ẞ ſ Ǆ ǅ", "áë Å", "日本語 テスト 🙂👍🏽 it's we'LL", "<|endoftext|> a <|startoftext|>b<|endoftext|>", "x" * 3000, "é" * 500, "a\nb\n\n\tc. d! e?", "tab\t\n\r\x0b\x0c end  ", "!!!???...---" * 40]
+
+
+def docs(spark, texts, extra=""):
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def noise(rng, n=200):
+    kinds = [lambda: rng.randrange(32, 127), lambda: rng.randrange(0x250), lambda: rng.randrange(0x250, 0x3000), lambda: rng.randrange(0x1F300, 0x1F700)]
+    return ["".join(chr(rng.choice(kinds)()) for _ in range(rng.randrange(60))) for _ in range(n)]
+
+
+# ---- 8: BPE -----------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ODD + noise(random.Random(1))
+    lib = Tokenizer.from_file(WORD)
+    got = {r.doc_id: r for r in bpe.encode_texts(docs(spark, texts), WORD).collect()}
+    for k, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[k].ids == ids and got[k].decoded == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_byte_codec_equals_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ODD + noise(random.Random(2))
+    lib, codec = Tokenizer.from_file(BYTE), bpe.byte_codec(BYTE)
+    for t, got in zip(texts, codec.encode_many(texts)):
+        ids = np.frombuffer(got, dtype="<u4").tolist()
+        assert ids == lib.encode(t or "", add_special_tokens=False).ids
+        assert codec.decode_bytes(ids).decode() == (t or "")
+
+
+def test_no_merge_crosses_a_cut():
+    codec = bpe.word_codec(WORD)
+    assert any(len(codec.fragments(w)) > 1 for w in ("qzxqj", "zqx", "xqzwv"))
+    for w in ("qzxqj", "thetion", "été"):
+        assert "".join(codec.fragments(w))[:-1] == "".join(codec.symbols[b] for b in w.encode())[:-1]
+
+
+# ---- 7: packing --------------------------------------------------------------------------------------------------------
+
+
+def padding(n, window):
+    return 0 if n & (n - 1) == 0 else window - n
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(0)
+    for _ in range(200):
+        window, n = rng.choice([4, 8, 16]), rng.randrange(1, 8)
+        places = np.cumsum([0] + [rng.randrange(1, window + 1) for _ in range(n)])
+        penalty = np.array([0.0] + [rng.choice([0, 1, 3, 6]) for _ in range(n)])
+        cost = lambda cs: sum(padding(places[b] - places[a], window) + penalty[b] for a, b in zip(cs, cs[1:]))  # noqa: B023, E731
+        every = ([0, *m, n] for r in range(n) for m in itertools.combinations(range(1, n), r))
+        best = min(cost(c) for c in every if all(places[b] - places[a] <= window for a, b in zip(c, c[1:])))
+        assert cost(packing.best_cuts(places, penalty, window)) == best
+
+
+def test_pieces_hold_every_id_once(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTE)
+    rng = random.Random(3)
+    texts = ODD + [" ".join(rng.choice(["the", "cat", "sat.", "On", "mat!\n"]) for _ in range(rng.randrange(900))) for _ in range(60)]
+    rows = packing.pack_documents(docs(spark, texts), BYTE, window=128).collect()
+    ids = {k: [*lib.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for k, want in ids.items():
+        parts = sorted(by_doc[k], key=lambda r: r.start)
+        assert [i for p in parts for i in np.frombuffer(p.token_bytes, "<u4").tolist()] == want
+        assert {p.doc_tokens for p in parts} == {len(want)}
+    pad = total = 0
+    for parts in by_seq.values():
+        parts.sort(key=lambda r: r.offset)
+        at = 0
+        for p in parts:
+            assert p.offset == at
+            at += p.length
+        assert at <= 128
+        pad, total = pad + padding(at, 128), total + at
+    assert pad < 0.05 * total
+
+
+# ---- 3: chat -----------------------------------------------------------------------------------------------------------
+
+
+def test_chat_reads_back_what_went_in(spark):
+    said = r"\### Assistant: </turn> ok"
+    rng = random.Random(4)
+    pool = [*ODD, said, "### a: b</turn>", "\\\\###", "<|endoftext|>", *noise(rng, 30)]
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (5, 0, None, None), (6, 0, "assistant", "a"), (6, 0, "assistant", "a")]
+    rows += [(c, t, rng.choice(["user", "assistant", "system", "we:ird\\"]), rng.choice(pool)) for c in range(10, 14) for t in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df.repartition(3), BYTE)
+    got = {r.conv_id: r for r in chat.read_back(made, BYTE).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: r[1])
+        whole = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        learnt = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        shown = sum(len(chat.OPEN + chat.escape(r[2] or "", True) + chat.ROLE_END + chat.escape(r[3] or "") + chat.TURN_END) for r in turns)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert got[c].formatted_chars == shown
+    texts = {r.conv_id: r.formatted for r in chat.rendered(made.where("conv_id = -7"), BYTE).collect()}
+    assert texts[-7] == r"### user: \\\### Assistant: \</turn> ok</turn>" + "\n" + r"### assistant: \\\### Assistant: \</turn> ok</turn>" + "\n"
+
+
+def test_long_conversations_go_on_in_another_row(spark, monkeypatch):
+    df = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", "word " * 9000) for k in range(20)], "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df, BYTE)
+    assert made.count() > 1
+    assert chat.read_back(made, BYTE).first().loss_chars == 10 * len("word " * 9000)
+
+
+# ---- 10: n-gram join -----------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows):
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    found = []
+    for k, t in rows:
+        w = (t or "").encode().translate(lower).split()
+        found.append((k, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    up = {k: k for k, _ in found}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(found, 2):
+        if s and t and 100 * len(s & t) >= 75 * len(s | t):
+            p, q = top(a), top(b)
+            up[max(p, q)] = min(p, q)
+    return sorted((k, len(s), top(k)) for k, s in found)
+
+
+@pytest.mark.parametrize("above, times", [(48, 3), (-1000, 0.0), (0, 1.0)])
+def test_components_equal_brute_force(spark, monkeypatch, above, times):
+    monkeypatch.setattr(ngramjoin, "FREQUENT_ABOVE", above)
+    monkeypatch.setattr(ngramjoin, "FREQUENT_TIMES", times)
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(40)]
+    base = [[rng.choice(vocab) for _ in range(rng.randrange(60))] for _ in range(20)]
+    common = [rng.choice(vocab) for _ in range(30)]
+    rows = []
+    for i in range(220):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        if rng.random() < 0.5:
+            w = common[: rng.randrange(30)] + w[: rng.randrange(1, 12)]
+        rows.append((i if rng.random() < 0.97 else max(0, i - 1), " ".join(w).upper() if rng.random() < 0.3 else " ".join(w) if rng.random() < 0.97 else None))
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+
+
+def test_shingles_of_short_and_blank_texts():
+    sizes = [len(s) for s in ngramjoin.shingle_sets([None, b"", b" \t\n", b"a", b"a b c d", b"a b c d e", b"a b c d e a b c d e"])]
+    assert sizes == [0, 0, 0, 1, 1, 1, 5]
+    one, two = ngramjoin.shingle_sets([b"A b\xc3\x84 c d e", b"a  b\xc3\x84\tc d E"])
+    assert one.tolist() == two.tolist()
+    assert ngramjoin.shingle_sets([b"a b"])[0].tolist() != ngramjoin.shingle_sets([b"ab"])[0].tolist()
+
+
+def test_connected_components(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)]
+    up = {}
+    for a, b in links:
+        up.setdefault(a, {a}).add(b), up.setdefault(b, {b}).add(a)
+    seen, want = set(), {}
+    for k in up:
+        if k not in seen:
+            todo, part = [k], set()
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part.add(x)
+                    todo += up[x]
+            seen |= part
+            want |= {x: min(part) for x in part if len(part) > 1}
+    got = components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t"))
+    assert {r.node: r.component for r in got.collect()} == want
+
+
+# ---- 6: top-k --------------------------------------------------------------------------------------------------------------
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 40)
+    rng = random.Random(7)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(8)]) for k in range(150)]
+    rows += [(150, None), (151, [float("nan")] * 8), (152, [None] * 8), (153, [1.0]), (None, [1.0] * 8), (154, [float("inf")] * 8)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    ints = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows[:150]}
+    want = []
+    for q in range(0, 150, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), k) for k, v in ints.items() if k != q)[:5]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_are_left_out_and_nothing_is_lost():
+    rng = np.random.default_rng(8)
+    v = rng.integers(-50, 50, (700, 6))
+    q = rng.integers(-50, 50, (9, 6))
+    who, ids, score = topk.top_in_blocks(q, np.arange(-9, 0), v, np.arange(700), 4, block=16)
+    for k in range(9):
+        s = v @ q[k]
+        want = sorted(zip(-s, range(700)))[:4]
+        assert [(-a, b) for a, b in zip(score[who == k], ids[who == k])] == [(int(a), b) for a, b in want]
+
+
+# ---- 4: fingerprints ---------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 3)
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(["ab", "cde", "f", "ghij."]) for _ in range(rng.randrange(30)))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 12))) for _ in range(20)] + ["", None, "é🙂" * 20]
+    df = docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 37 - 100)
+    got = {(r.doc_id + 100) // 37: r for r in merkle.compare_with_edits(df).collect()}
+    for k, t in enumerate(texts):
+        t, nxt = t or "", (texts[k - 1] if k else texts[-1]) or ""
+        m = len(t) // 3
+        edited = t[: len(t) - m] + nxt[:m]
+        assert (got[k].n_chars, got[k].edited) == (len(t), edited)
+        assert (got[k].fingerprint == got[k].edited_fingerprint) == (t == edited)
+        assert 0 <= got[k].near_next <= 1 and 0 <= got[k].near_edited <= 1
+    long = [k for k, t in enumerate(texts) if len(t or "") > 300]
+    assert np.mean([got[k].near_edited for k in long]) > 0.4
+    same = {r.fingerprint for r in merkle.fingerprints(docs(spark, ["a\nb", "a\nb", "a\n b"])).collect()}
+    assert len(same) == 2
+    one = merkle.fingerprints(docs(spark, ["a\nb\nc", "a\nx\nc\nd"])).orderBy("doc_id").collect()
+    pair = spark.createDataFrame([(one[0].fingerprint, one[1].fingerprint)], "x string, y string")
+    assert pair.select(merkle.differing_paragraphs(F.col("x"), F.col("y"))).first()[0] == [1, 3]
+
+
+# ---- 5, 9: models -------------------------------------------------------------------------------------------------------------
+
+
+def test_language_on_held_out_documents(spark, tables):
+    from corpusloom.llm.queries import op5_language_id
+
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "lang").collect()}
+    got = op5_language_id(spark, tables).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.97
+
+
+def test_language_of_odd_texts(spark):
+    model = langid.fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")])
+    texts = [None, "", "123 !!", "²", "le chat", "x" * 100_000, "the the"]
+    df = docs(spark, texts).withColumn("score", F.lit("old")).withColumn("lang_pred", F.lit("old"))
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert [got[k].lang_pred for k in range(4)] == ["und"] * 4 and got[4].lang_pred == "fr" and got[6].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    nothing = langid.LanguageModel([], np.zeros((langid.BUCKETS, 0), dtype=np.float32))
+    assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
+
+
+def test_batches_do_not_change_language_sums():
+    model = langid.fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")])
+    texts = [langid.normal_bytes(t) for t in ("a", "le chat", "", "the dog and", "zz")]
+    whole = langid._totals(texts, model.weights)[0]
+    assert np.allclose(whole, np.concatenate([langid._totals([t], model.weights)[0] for t in texts]), atol=1e-3)
+
+
+def test_quality_on_held_out_documents(spark):
+    from corpusloom.llm.queries import op9_quality
+
+    tables = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{tables}/labels.parquet").collect()}
+    got = op9_quality(spark, tables).collect()
+    held = [r for r in got if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and np.mean([labels[r.doc_id] == r.predicted for r in held]) > 0.95
+    assert all(r.predicted == int(r.score >= quality.THRESHOLD) for r in got)
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(10)
+    chain = rng.normal(size=(2, 2))
+    scores = [rng.normal(size=n) for n in (1, 4, 3)]
+    got, expected, z = quality.marginals(scores, chain)
+    count, total = np.zeros((2, 2)), 0.0
+    for s, g in zip(scores, got):
+        paths = list(itertools.product((0, 1), repeat=len(s)))
+        weight = np.exp([sum(s[i] * y for i, y in enumerate(p)) + sum(chain[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        total += np.log(weight.sum())
+        chance = weight / weight.sum()
+        assert np.allclose(g, [sum(c for c, p in zip(chance, paths) if p[i]) for i in range(len(s))])
+        for c, p in zip(chance, paths):
+            for a, b in zip(p, p[1:]):
+                count[a, b] += c
+    assert np.allclose(expected, count) and z == pytest.approx(total)
+
+
+def test_quality_of_odd_texts(spark):
+    field = quality.fit([("a good line of words here.\nand one more.", 1), ("X!! Y!! Z!!", 0)] * 5, steps=40)
+    got = quality.score_quality(docs(spark, [*ODD, "w " * 60_000]), field).collect()
+    assert len(got) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in got)
+    assert quality.fit([], 1).weights.shape == (quality.N_FEATURES,)
+
+
+# ---- 1: HTML -------------------------------------------------------------------------------------------------------------------
+
+
+def test_messages_equal_enumeration():
+    rng = np.random.default_rng(11)
+    parent = np.array([-1, 0, 0, 1, 1, -1, 5])
+    scores, pair = rng.normal(size=7), rng.normal(size=(2, 2))
+    paths = np.array(list(itertools.product((0, 1), repeat=7)))
+    weight = np.exp([sum(scores * p) + sum(pair[p[parent[k]], p[k]] for k in range(7) if parent[k] >= 0) for p in paths])
+    weight /= weight.sum()
+    got, expected = html.marginals(parent, scores, pair)
+    assert np.allclose(got, weight @ paths)
+    want = np.zeros((2, 2))
+    for w, p in zip(weight, paths):
+        for k in range(7):
+            if parent[k] >= 0:
+                want[p[parent[k]], p[k]] += w
+    assert np.allclose(expected, want)
+
+
+def test_pages_kept_from_the_fit():
+    model = html.default_model()
+    right = 0
+    pages = html_pages.labelled_pages(60, 977)
+    for page, y in pages:
+        parent, x = html._node_features(page)
+        chance, _ = html.marginals(parent, x @ model.weights, model.pair)
+        spoken = {n for n, t, _ in page.run if n is not None and t.strip()}
+        right += all((chance[n] >= 0.5) == (y[n] == 1) for n in spoken)
+    assert right >= 54
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("<article><h1>A &amp; B</h1><p>one\n two<p>three <b>bold</b>&nbsp;x</article><footer>f</footer>", "A & B\none two\nthree bold x"),
+        ("<nav><a href=/>menu</a></nav><article><p>Body text, with a comma.</p><div class=ad>buy</div><p>More.</p></article><div class=comments><p>nice</p></div>", "Body text, with a comma.\nMore."),
+        ("<article><p>a &lt;b&gt; c &#233; &copy;</p><script>x</script><style>y</style><!-- z --></article>", "a <b> c é ©"),
+        ("<article><p>cut off &am", "cut off &am"),
+    ],
+)
+def test_small_pages(page, text):
+    assert html.extract_texts([page], html.default_model()) == [text]
+
+
+def test_html_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>a b c d e f g.</p></article>", "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html.extract_main_text(df).collect()}
+    assert got[1].text == "a b c d e f g." and got[1].url == "u" and got[2].text == ""
+
+
+# ---- 2: lines -------------------------------------------------------------------------------------------------------------------
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    pool = ["boiler", " boiler ", "x", "", "  ", "\t"] + [f"l{k}" for k in range(60)]
+    rows = [(k if rng.random() < 0.95 else 0, "\n".join(rng.choice(pool) for _ in range(rng.randrange(8))) if rng.random() < 0.95 else None, rng.choice(["a", "b", None])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
+    got = sorted((r.doc_id, r.source or "", r.text or "", r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df, max_ratio=0.1, min_pages=4).collect())
+    pages, having = {}, {}
+    for k, t, s in rows:
+        if t is not None:
+            pages.setdefault(s, set()).add(k)
+            for x in t.split("\n"):
+                if x.strip(" \t\r"):
+                    having.setdefault((s, x.strip(" \t\r")), set()).add(k)
+    bad = {key for key, ks in having.items() if len(ks) >= 4 and len(ks) > 0.1 * len(pages[key[0]])}
+    want = []
+    for k, t, s in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if (s, x.strip(" \t\r")) not in bad]
+        want.append((k, s or "", "\n".join(kept), len(lines), len(lines) - len(kept)))
+    assert got == sorted(want) and bad
+
+
+# ---- all -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark):
+    none = docs(spark, ["x"]).where("false")
+    field, model = quality.LineField(np.zeros(quality.N_FEATURES), np.zeros((2, 2))), langid.fit([("a", "x")])
+    for made in (
+        bpe.encode_texts(none, WORD),
+        packing.pack_documents(none, BYTE),
+        merkle.compare_with_edits(none),
+        merkle.fingerprints(none),
+        langid.predict(none, model),
+        quality.score_quality(none, field),
+        linededup.dedup_lines(none),
+        ngramjoin.near_duplicates(none),
+        topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+        html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")),
+        chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), BYTE), BYTE),
+    ):
+        assert made.count() == 0
