@@ -100,3 +100,59 @@ def parallel_lines(df: DataFrame, key: str, a: str, b: str, ranges: int = 256) -
     numbered = df.withColumn("cell", cell).join(F.broadcast(starts), "cell")
     place = F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy(key)) - 1
     return numbered.select(place.cast("long").alias("idx"), F.col(key), T.one_line(F.col(a)).alias(f"{a}_line"), T.one_line(F.col(b)).alias(f"{b}_line"))
+
+
+def _example(test: Column, task: str, source: Column, target: Column, kind: str | None = None) -> Column:
+    return F.when(test, F.struct(F.lit(task).alias("task"), source.alias("source"), target.alias("target"), F.lit(kind).cast("string").alias("ref_kind")))
+
+
+def evaluation_examples(df: DataFrame, key: str, variety_tags: tuple[str, ...] = ("PtBrVarId", "PtBrVId")) -> DataFrame:
+    """Examples of unified rows by the rule of their dataset.
+
+    The variety corpus gives its label with the first filled side; gold rows one translation a reference; other rows translations both
+    ways if both sides are filled, and each filled side's variety.
+    """
+    col = F.col
+    has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    br, pt = col("text_pt_br"), col("text_pt_pt")
+    variety, gold = col("dataset").isin(*variety_tags), col("dataset") == "Gold"
+    plain = ~variety & ~gold
+    both = plain & has(br) & has(pt)
+    made = F.array(
+        _example(both, "translate_br2pt", br, pt),
+        _example(both, "translate_pt2br", pt, br),
+        _example(plain & has(br), "classify", br, F.lit("pt-BR")),
+        _example(plain & has(pt), "classify", pt, F.lit("pt-PT")),
+        _example(variety & col("label").isin("pt-BR", "pt-PT") & (has(br) | has(pt)), "classify", F.when(has(br), br).otherwise(pt), col("label")),
+        _example(gold & has(br) & has(col("ref_pt_pt_manual")), "translate_br2pt", br, col("ref_pt_pt_manual"), "manual"),
+        _example(gold & has(br) & has(col("ref_pt_pt_deepl")), "translate_br2pt", br, col("ref_pt_pt_deepl"), "deepl"),
+    )
+    return df.select(key, "dataset", F.coalesce(blank(col("bucket")), F.lit("UNKNOWN")).alias("bucket"), F.inline(F.array_compact(made)))
+
+
+def blank(c: Column) -> Column:
+    """Null for a blank text, else the text."""
+    return F.when(F.trim(c) != "", c)
+
+
+def resolved_task(task: Column, given: Column, target: Column) -> Column:
+    """Struct of ``token``, ``input`` and ``gold``: by the task's name, else the target's token, else the input's prefix; null if none tells."""
+    name, source, gold = F.trim(F.coalesce(task, F.lit(""))), F.trim(F.coalesce(given, F.lit(""))), F.trim(F.coalesce(target, F.lit("")))
+    bare = F.regexp_replace(gold, r"^<(?:BR2PT|PT2BR|CLS)>\s*", "")
+    out = lambda token, text, answer: F.struct(F.lit(token).alias("token"), text.alias("input"), answer.alias("gold"))
+    found = F.lit(None)
+    for prefix, token in reversed(DIRECTIONS.items()):
+        found = F.when(source.startswith(f"<{prefix}>"), out(token, F.regexp_replace(source, rf"^<{prefix}>\s*", ""), gold)).otherwise(found)
+    for token in reversed(DIRECTIONS.values()):
+        found = F.when(gold.startswith(token), out(token, source, bare)).otherwise(found)
+    for names, token in reversed(((("translate_br2pt", "<BR2PT>"), "<BR2PT>"), (("translate_pt2br", "<PT2BR>"), "<PT2BR>"))):
+        found = F.when(name.isin(*names), out(token, source, bare)).otherwise(found)
+    return found
+
+
+def target_format(target: Column) -> Column:
+    """``translation``, ``classification`` or ``bad``: a known token first, and for a class exactly one known label behind it."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(target, F.lit("")), r"\s+", " ")), " ")
+    head = F.get(words, F.lit(0))
+    labelled = (F.size(words) == 2) & F.get(words, F.lit(1)).isin("pt-br", "pt-pt", "equal")
+    return F.when(head.isin(*DIRECTIONS.values()), "translation").when((head == "<CLS>") & labelled, "classification").otherwise("bad")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import labels as L
 from corpusloom.functions import text as T
 from corpusloom.operators import examples as X
 from corpusloom.operators import relational as R
@@ -222,7 +223,90 @@ def parallel_export(spark, d):
 _LINE = r"regexp_replace(regexp_replace(coalesce({}, ''), '[\r\n\t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 PARALLEL_EXPORT = f"WITH {PAIRS} SELECT row_number() OVER (ORDER BY line_no) - 1 AS idx, line_no, {_LINE.format('br')} AS br_line, {_LINE.format('pt')} AS pt_line FROM pairs"
 
+def _unified(spark, d):
+    p = pairs(spark, d)
+    tag = F.when(F.col("line_no") % 4 == 0, "PtBrVId").when(F.col("line_no") % 4 == 1, "Gold").when(F.col("line_no") % 4 == 2, "OpenSubs").otherwise("FRMT")
+    return p.select("line_no", tag.alias("dataset"), F.when(F.col("line_no") % 3 == 0, " ").otherwise(F.lit("b")).alias("bucket"), F.when(F.col("line_no") % 8 == 0, "pt-PT").when(F.col("line_no") % 8 == 4, "x").alias("label"), F.when(F.col("line_no") % 5 != 0, F.col("br")).alias("text_pt_br"), F.col("pt").alias("text_pt_pt"), F.col("pt").alias("ref_pt_pt_manual"), F.when(F.col("line_no") % 2 == 1, "").otherwise(F.col("br")).alias("ref_pt_pt_deepl"))
+
+
+def evaluation_examples(spark, d):
+    x = X.evaluation_examples(_unified(spark, d), "line_no")
+    return x.select("line_no", "dataset", "bucket", "task", F.length("source").cast("long").alias("source_chars"), F.length("target").cast("long").alias("target_chars"), "ref_kind")
+
+
+EVALUATION_EXAMPLES = f"""WITH {PAIRS}, u AS (SELECT line_no, CASE line_no % 4 WHEN 0 THEN 'PtBrVId' WHEN 1 THEN 'Gold' WHEN 2 THEN 'OpenSubs' ELSE 'FRMT' END AS dataset, CASE WHEN line_no % 3 = 0 THEN 'UNKNOWN' ELSE 'b' END AS bucket,
+  CASE line_no % 8 WHEN 0 THEN 'pt-PT' WHEN 4 THEN 'x' END AS label, CASE WHEN line_no % 5 <> 0 THEN br END AS br, pt, br AS br0 FROM pairs),
+e AS (
+  SELECT line_no, dataset, bucket, 'translate_br2pt' AS task, br AS s, pt AS t, NULL AS ref_kind FROM u WHERE dataset IN ('OpenSubs', 'FRMT') AND length(br) > 0 AND length(pt) > 0
+  UNION ALL SELECT line_no, dataset, bucket, 'translate_pt2br', pt, br, NULL FROM u WHERE dataset IN ('OpenSubs', 'FRMT') AND length(br) > 0 AND length(pt) > 0
+  UNION ALL SELECT line_no, dataset, bucket, 'classify', br, 'pt-BR', NULL FROM u WHERE dataset IN ('OpenSubs', 'FRMT') AND length(br) > 0
+  UNION ALL SELECT line_no, dataset, bucket, 'classify', pt, 'pt-PT', NULL FROM u WHERE dataset IN ('OpenSubs', 'FRMT') AND length(pt) > 0
+  UNION ALL SELECT line_no, dataset, bucket, 'classify', CASE WHEN length(br) > 0 THEN br ELSE pt END, label, NULL FROM u WHERE dataset = 'PtBrVId' AND label IN ('pt-BR', 'pt-PT') AND (length(br) > 0 OR length(pt) > 0)
+  UNION ALL SELECT line_no, dataset, bucket, 'translate_br2pt', br, pt, 'manual' FROM u WHERE dataset = 'Gold' AND length(br) > 0 AND length(pt) > 0
+  UNION ALL SELECT line_no, dataset, bucket, 'translate_br2pt', br, br0, 'deepl' FROM u WHERE dataset = 'Gold' AND length(br) > 0 AND line_no % 2 <> 1 AND length(br0) > 0)
+SELECT line_no, dataset, bucket, task, length(s) AS source_chars, length(t) AS target_chars, ref_kind FROM e"""
+
+
+def _task_rows(spark, d):
+    p = pairs(spark, d)
+    task = F.when(F.col("line_no") % 4 == 0, " translate_br2pt ").when(F.col("line_no") % 4 == 1, "")
+    given = F.when(F.col("line_no") % 4 == 2, F.concat(F.lit("<pt-br> "), "pt")).otherwise(F.col("br"))
+    target = F.when(F.col("line_no") % 4 == 1, F.concat(F.lit("<PT2BR> "), "pt")).when(F.col("line_no") % 8 == 3, "<CLS> equal").when(F.col("line_no") % 8 == 7, "<CLS> no").otherwise(F.col("pt"))
+    return p.select("line_no", task.alias("task"), given.alias("given"), target.alias("target"))
+
+
+def task_resolution(spark, d):
+    x = _task_rows(spark, d).select("line_no", X.resolved_task(F.col("task"), F.col("given"), F.col("target")).alias("r"))
+    return x.select("line_no", "r.token", F.length("r.input").cast("long").alias("input_chars"), F.length("r.gold").cast("long").alias("gold_chars"))
+
+
+TASK_RESOLUTION = f"""WITH {PAIRS} SELECT line_no, CASE line_no % 4 WHEN 0 THEN '<BR2PT>' WHEN 1 THEN '<PT2BR>' WHEN 2 THEN '<PT2BR>' END AS token,
+  CASE WHEN line_no % 4 IN (0, 1) THEN length(trim(br)) WHEN line_no % 4 = 2 THEN length(regexp_replace(trim('<pt-br> ' || pt), '^<pt-br>\\s*', '')) END AS input_chars,
+  CASE WHEN line_no % 4 = 1 THEN length(regexp_replace(trim('<PT2BR> ' || pt), '^<PT2BR>\\s*', '')) WHEN line_no % 4 IN (0, 2) THEN length(trim(pt)) END AS gold_chars FROM pairs"""
+
+
+def format_counters(spark, d):
+    return _task_rows(spark, d).groupBy(X.target_format(F.col("target")).alias("format")).agg(F.count("*").alias("n"))
+
+
+FORMAT_COUNTERS = f"WITH {PAIRS} SELECT CASE WHEN line_no % 4 = 1 THEN 'translation' WHEN line_no % 8 = 3 THEN 'classification' ELSE 'bad' END AS format, count(*) AS n FROM pairs GROUP BY 1"
+
+
+def label_rules(spark, d):
+    """Every label rule over a list of spellings, crossed with nothing: spellings are made from the documents' own fields."""
+    spelling = F.element_at(F.array(*[F.lit(s) for s in LABEL_SPELLINGS]), (F.col("doc_id") % len(LABEL_SPELLINGS) + 1).cast("int"))
+    x = documents(spark, d).select(spelling.alias("raw"))
+    rules = {"ingest": L.at_ingest, "filtered": L.at_filter, "exported": L.at_export, "pair_model": L.answer_of_pair_model, "multitask": L.answer_of_multitask_model, "chat": L.answer_of_chat_model}
+    return x.groupBy("raw").agg(F.count("*").alias("n")).select("raw", "n", *[f(F.col("raw")).alias(n) for n, f in rules.items()])
+
+
+LABEL_SPELLINGS = ("1", "0", "pt_BR", " PT-pt ", "Brasil", "Portugal", "equal", "shared", "br", "european", "Português Europeu", "pt-PT ou pt-BR", "x")
+_RULES = {
+    "1": ("pt-BR", "pt-BR", None, None, "unknown", None),
+    "0": ("pt-PT", "pt-PT", None, None, "unknown", None),
+    "pt_BR": ("pt-BR", "pt-BR", "pt-br", None, "unknown", None),
+    " PT-pt ": ("pt-PT", "pt-PT", "pt-pt", "pt-pt", "pt-pt", "pt-PT"),
+    "Brasil": ("brasil", "pt-PT", None, "pt-br", "unknown", "pt-BR"),
+    "Portugal": ("portugal", "pt-PT", "pt-pt", "pt-pt", "unknown", "pt-PT"),
+    "equal": ("equal", "pt-PT", "equal", "equal", "equal", None),
+    "shared": ("shared", "pt-PT", "equal", "equal", "unknown", None),
+    "br": ("br", "pt-BR", None, None, "unknown", None),
+    "european": ("european", "pt-PT", None, None, "unknown", None),
+    "Português Europeu": ("português europeu", "pt-PT", "pt-pt", "pt-pt", "unknown", "pt-PT"),
+    "pt-PT ou pt-BR": ("pt-pt ou pt-br", "pt-PT", None, "pt-br", "pt-br", "pt-BR"),
+    "x": ("x", "pt-PT", None, None, "unknown", None),
+}
+LABEL_RULES = (
+    "WITH s(i, raw, ingest, filtered, exported, pair_model, multitask, chat) AS (VALUES "
+    + ", ".join(f"({i}, '{raw}', " + ", ".join("CAST(NULL AS VARCHAR)" if v is None else f"'{v}'" for v in _RULES[raw]) + ")" for i, raw in enumerate(LABEL_SPELLINGS))
+    + f") SELECT raw, count(*) AS n, ingest, filtered, exported, pair_model, multitask, chat FROM documents JOIN s ON doc_id % {len(LABEL_SPELLINGS)} = i GROUP BY ALL"
+)
+
 QUERIES = {
+    "f9_label_rules": (label_rules, LABEL_RULES),
+    "x6_evaluation_examples": (evaluation_examples, EVALUATION_EXAMPLES),
+    "x9_task_resolution": (task_resolution, TASK_RESOLUTION),
+    "x10_format_counters": (format_counters, FORMAT_COUNTERS),
     "a8_canonical_pick": (canonical_pick, CANONICAL_PICK),
     "f2_label_repair": (label_repair, LABEL_REPAIR),
     "f6_misplaced_repair": (misplaced_repair, MISPLACED_REPAIR),

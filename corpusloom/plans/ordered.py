@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import alignment as A
 from corpusloom.functions import boilerplate as B
 from corpusloom.functions import text as T
 from corpusloom.operators import nearest as N
@@ -96,6 +98,24 @@ def admission(spark, d):
     return S.over_segments(p, "segment", "line_no", run, "segment long, line_no long, verdict string")
 
 
+def sentence_moves(spark, d):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        moved = S.move_sentences([(a or "", b or "") for a, b in zip(rows.br, rows.pt)], A.damped_set_ratio)
+        return pd.DataFrame([(p, n, a, b) for p, n, (a, b) in zip(rows.pair_id, rows.line_no, moved)], columns=["pair_id", "line_no", "br", "pt"])
+
+    return S.over_segments(pairs(spark, d), "pair_id", "line_no", run, "pair_id long, line_no long, br string, pt string")
+
+
+def alignment_flags(spark, d):
+    """Features of each pair with its neighbours in the conversation, and what the policy says."""
+    w = Window.partitionBy("pair_id").orderBy("line_no")
+    three = lambda c: (F.lag(c).over(w), F.col(c), F.lead(c).over(w))
+    names = [f"{side}{k}" for side in ("br", "pt") for k in range(3)]
+    rows = pairs(spark, d).select("line_no", *[x.alias(n) for n, x in zip(names, (*three("br"), *three("pt")))])
+    made = rows.select("line_no", A.feature_struct(tuple(F.col(n) for n in names[:3]), tuple(F.col(n) for n in names[3:])).alias("f"))
+    return made.select("line_no", "f.*", A.policy(F.col("f")).alias("v")).select("*", "v.flagged", "v.reasons").drop("v")
+
+
 def boilerplate(spark, d):
     return table(spark, d, "pages").select("page_id", B.content_udf(F.col("html")).alias("text"))
 
@@ -119,6 +139,8 @@ QUERIES = {
     "j11_assignment": (_align("optimal"), None),
     "j12_greedy": (_align("greedy"), None),
     "j14_near_pairs": (near_pairs, NEAR_PAIRS),
+    "q7_sentence_moves": (sentence_moves, None),
+    "t34_alignment_flags": (alignment_flags, None),
     "t58_boilerplate": (boilerplate, None),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
 }

@@ -84,3 +84,26 @@ def test_boilerplate():
     assert B.content(page) == "título\n" + text.strip()
     assert B.content(None) == "" and B.content("<p>curto</p>") == "curto"
     assert B.plain_text("a<script>x</script>&amp;<b>c</b>") == "a & c"
+
+
+def test_alignment_features_and_policy(spark):
+    from corpusloom.functions import alignment as A
+
+    same = A.features((None, "o gato preto dorme muito", None), (None, "o gato preto dorme muito", None))
+    assert same["cov_min"] == same["base_sim"] == 1 and same["br_len"] == 5
+    rows = [(0, None, "o gato preto dorme muito hoje ali", None, None, "o gato preto dorme muito hoje ali", None), (1, None, "o gato preto dorme", None, None, "choveu ontem toda noite", None)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string, d string, e string, f string")
+    made = df.select("k", A.feature_struct((F.col("a"), F.col("b"), F.col("c")), (F.col("d"), F.col("e"), F.col("f"))).alias("x"))
+    got = {r.k: (r.v.flagged, r.v.reasons) for r in made.select("k", A.policy(F.col("x")).alias("v")).collect()}
+    assert got == {0: (False, "ok"), 1: (True, "low_similarity")}
+    assert A.token_set_ratio("a b c", "a b") == 1 and A.token_set_ratio("", "a") == 0
+    assert A.damped_set_ratio("abc", "abc") == pytest.approx(0.0625) and A.text_only_score("a", "a") == 1
+
+
+def test_repairs(spark):
+    from corpusloom.functions import repair as P
+
+    assert P.capitalise_sentences('olá. "tudo bem?\nfim') == 'Olá. "Tudo bem?\nFim'
+    assert P.mend_unicode("OlÃ¡") == "Olá" and P.mend_unicode(None) == "" and P.to_ascii("Ação…") == "Acao..."
+    df = spark.createDataFrame([("á",), (None,)], "t string")
+    assert [r[0] for r in df.select(P.column(P.to_ascii, F.col("t"))).collect()] == ["a", ""]

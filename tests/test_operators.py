@@ -133,3 +133,15 @@ def test_labels_and_messages(spark):
 def test_bleu_of_equal_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id long, hyp string, ref string")
     assert M.corpus_bleu(df).first().bleu == 100
+
+
+def test_sentence_moves():
+    from corpusloom.functions.alignment import damped_set_ratio
+
+    rows = [("vamos todos para casa agora mesmo.", "vamos todos para casa agora mesmo. amanhã faremos tudo outra vez."), ("amanhã faremos tudo outra vez.", "")]
+    assert S.move_sentences(rows, damped_set_ratio) == [(rows[0][0], rows[0][0]), (rows[1][0], rows[1][0])]
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([("<BR2PT> a b",), ("<CLS> equal",), ("<CLS> no",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.target_format(F.col("t"))).collect()] == ["translation", "classification", "bad", "bad", "bad"]
