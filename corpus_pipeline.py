@@ -32,10 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops boilerplate lines of each source; documents of which nothing is left go."""
-    clean = linededup.dedup_lines(docs.select(COLUMNS))
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    return clean.where(~emptied | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Drops boilerplate lines of each source."""
+    return linededup.dedup_lines(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", host: str = "source", text:
 
     A line is compared without blanks, tabs and carriage returns at its ends; blank lines are never boilerplate.  Pages with a null
     host are one host.  A null text stays null and has no lines.  A page counts once for a line however often it has it; rows that
-    share a key are one page.  What is left of a text keeps its lines in order, joined by newlines; a text of which nothing is left
-    becomes empty.  Hot hosts are counted per line and pre-aggregated before the shuffle; no host's rows meet in one task.
+    share a key are one page.  What is left of a text keeps its lines in order, joined by newlines; a text of which nothing but blank
+    lines would be left stays whole, as it is a copied page and not what stands around one.  Hot hosts are counted per line and pre-aggregated before the shuffle; no host's rows meet in one task.
     """
     pages = df.select(F.col(key).alias("k"), F.col(host).alias("h"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
     hashed = F.transform(_lines("t"), lambda x: F.when(_bare(x) == "", F.lit(None)).otherwise(F.struct(F.xxhash64(_bare(x)).alias("a"), F.hash(_bare(x)).alias("b"))))
@@ -51,7 +51,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", host: str = "source", text:
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     wide = df.select(*[F.col(f"`{c}`") for c in names]).join(drop, F.col(key).eqNullSafe(F.col("dk")) & F.col(host).eqNullSafe(F.col("dh")), "left")
     kept = F.filter(_lines(text), lambda x: (_bare(x) == "") | ~F.array_contains(F.col("drop"), F.struct(F.xxhash64(_bare(x)).alias("a"), F.hash(_bare(x)).alias("b"))))
-    out = wide.withColumn("__kept", F.when(F.col("drop").isNull(), F.lit(None)).otherwise(kept))
+    out = wide.withColumn("__kept", F.when(F.col("drop").isNotNull(), kept))
+    out = out.withColumn("__kept", F.when(F.exists("__kept", lambda x: _bare(x) != ""), F.col("__kept")))
     size = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     rest = {c: F.col(f"`{c}`") for c in names}
     rest[text] = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
@@ -81,9 +82,10 @@ flagged AS (
 ),
 made AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text,
-         count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
+         count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, count(*) FILTER (WHERE NOT dropped AND b <> '') > 0 AS something
   FROM flagged GROUP BY doc_id
 )
-SELECT d.doc_id, d.source, m.text, coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_dropped, 0) AS n_dropped
+SELECT d.doc_id, d.source, CASE WHEN m.something THEN m.text ELSE d.text END AS text, coalesce(m.n_lines, 0) AS n_lines,
+  CASE WHEN m.something THEN m.n_dropped ELSE 0 END AS n_dropped
 FROM documents d LEFT JOIN made m ON d.doc_id = m.doc_id
 """.format(min_pages=MIN_PAGES, max_ratio=MAX_RATIO)
