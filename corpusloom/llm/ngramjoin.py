@@ -410,7 +410,7 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     with_key = raw.where(F.col("k").isNotNull() & (F.length("t") > 0))
     postings = work.table(_postings(with_key, sketch, bits, similar))
     filled = info.where(F.col("k").isNotNull() & (F.col("n") > 0))
-    classes = filled.groupBy("f").agg(F.min("k").alias("c"), F.first("n").alias("n"))
+    classes = work.table(filled.groupBy("f").agg(F.min("k").alias("c"), F.first("n").alias("n")))  # a table, so that the join below can split a hot class
     members = work.table(filled.select("k", "f").join(classes, "f").select("k", "c", "n").distinct())
 
     rep = lambda k, c: members.select(F.col("k").alias(k), F.col("c").alias(c))
@@ -435,5 +435,5 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     else:
         labels = early
     out = info.join(labels, F.col("k") == F.col("node"), "left").select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "k")).alias("component_id"))
-    work.drop(star, near, links, around, more, members)
+    work.drop(classes, star, near, links, around, more, members)
     return out.withColumnRenamed("doc_id", key)
