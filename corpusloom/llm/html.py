@@ -358,7 +358,7 @@ def extract_main_text(df: DataFrame, html: str = "html", model: TreeField | None
     """
     model = model or default_model()
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in df.columns if c not in (html, "text")]
+    names = [c for c in df.columns if c.lower() not in (html.lower(), "text")]
     kept = df.select(*[F.col(f"`{c}`") for c in names])
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(html).cast("string").alias("__html"))
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())])

@@ -117,7 +117,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     the text is sent through Python with the rest of the row; repeated rows give repeated rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in df.columns if c not in ("lang_pred", "score")]
+    names = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -46,12 +46,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", host: str = "source", text:
     counts = counted.groupBy("h", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     bad = counts.join(totals.withColumnRenamed("h", "th"), F.col("h").eqNullSafe(F.col("th"))).where(F.col("n") > F.lit(max_ratio) * F.col("pages")).select(F.col("h").alias("bh"), "a", "b")
     hit = counted.join(bad, F.col("h").eqNullSafe(F.col("bh")) & (counted["a"] == bad["a"]) & (counted["b"] == bad["b"]), "left_semi")
-    drop = hit.groupBy(F.col("k").alias("dk"), F.col("h").alias("dh")).agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    drop = hit.groupBy(F.col("k").alias("__dk"), F.col("h").alias("__dh")).agg(F.collect_set(F.struct("a", "b")).alias("__drop"))
 
-    names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    wide = df.select(*[F.col(f"`{c}`") for c in names]).join(drop, F.col(key).eqNullSafe(F.col("dk")) & F.col(host).eqNullSafe(F.col("dh")), "left")
-    kept = F.filter(_lines(text), lambda x: (_bare(x) == "") | ~F.array_contains(F.col("drop"), F.struct(F.xxhash64(_bare(x)).alias("a"), F.hash(_bare(x)).alias("b"))))
-    out = wide.withColumn("__kept", F.when(F.col("drop").isNotNull(), kept))
+    names = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+    wide = df.select(*[F.col(f"`{c}`") for c in names]).join(drop, F.col(key).eqNullSafe(F.col("__dk")) & F.col(host).eqNullSafe(F.col("__dh")), "left")
+    kept = F.filter(_lines(text), lambda x: (_bare(x) == "") | ~F.array_contains(F.col("__drop"), F.struct(F.xxhash64(_bare(x)).alias("a"), F.hash(_bare(x)).alias("b"))))
+    out = wide.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
     out = out.withColumn("__kept", F.when(F.exists("__kept", lambda x: _bare(x) != ""), F.col("__kept")))
     size = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     rest = {c: F.col(f"`{c}`") for c in names}

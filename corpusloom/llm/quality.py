@@ -200,7 +200,7 @@ def score_quality(df: DataFrame, field: LineField, text: str = "text") -> DataFr
     400,000 bytes of text or one longer text.  Repeated rows give repeated rows; other columns are kept.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
-    names = [c for c in df.columns if c not in ("score", "predicted")]
+    names = [c for c in df.columns if c.lower() not in ("score", "predicted")]
     source = df.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

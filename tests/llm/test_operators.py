@@ -281,7 +281,7 @@ def test_language_on_held_out_documents(spark, tables):
 def test_language_of_odd_texts(spark):
     model = langid.fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")])
     texts = [None, "", "123 !!", "²", "le chat", "x" * 100_000, "the the"]
-    df = docs(spark, texts).withColumn("score", F.lit("old")).withColumn("lang_pred", F.lit("old"))
+    df = docs(spark, texts).withColumn("Score", F.lit("old")).withColumn("lang_pred", F.lit("old")).withColumn("k", F.lit(0)).withColumn("t", F.lit(0))
     got = {r.doc_id: r for r in langid.predict(df, model).collect()}
     assert [got[k].lang_pred for k in range(4)] == ["und"] * 4 and got[4].lang_pred == "fr" and got[6].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in got.values())
@@ -392,7 +392,7 @@ def test_lines_equal_brute_force(spark):
     rng = random.Random(12)
     pool = ["boiler", " boiler ", "x", "", "  ", "\t"] + [f"l{k}" for k in range(60)]
     rows = [(k if rng.random() < 0.95 else 0, "\n".join(rng.choice(pool) for _ in range(rng.randrange(8))) if rng.random() < 0.95 else None, rng.choice(["a", "b", None])) for k in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("N_Lines", F.lit("clash")).withColumn("drop", F.lit(1)).withColumn("k", F.lit(2)).withColumn("a", F.lit(3))
     got = sorted((r.doc_id, r.source or "", r.text or "", r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df, max_ratio=0.1, min_pages=4).collect())
     pages, having = {}, {}
     for k, t, s in rows:
@@ -414,6 +414,18 @@ def test_lines_equal_brute_force(spark):
 # ---- all -----------------------------------------------------------------------------------------------------------------------
 
 
+def test_clashing_columns(spark):
+    df = docs(spark, ["One line. Two lines.\nthree", None, ""])
+    for c in ("k", "t", "h", "g", "n", "f", "c", "b", "start", "length", "ids", "decoded", "fingerprint", "SCORE", "predicted", "component_id", "edited", "role", "__x"):
+        df = df.withColumn(c, F.lit("clash"))
+    field = quality.LineField(np.zeros(quality.N_FEATURES), np.zeros((2, 2)))
+    assert quality.score_quality(df, field).select("score", "predicted", "k").count() == 3
+    assert {r.component_id for r in ngramjoin.near_duplicates(df).collect()} == {0, 1, 2}
+    assert merkle.compare_with_edits(df).count() == merkle.fingerprints(df).count() == bpe.encode_texts(df, WORD).count() == 3
+    assert packing.pack_documents(df, BYTE).select("doc_id").distinct().count() == 3
+    assert linededup.dedup_lines(df).count() == 3
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("false")
     field, model = quality.LineField(np.zeros(quality.N_FEATURES), np.zeros((2, 2))), langid.fit([("a", "x")])
