@@ -18,7 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +100,14 @@ class WordCodec:
     """Encodes as the vocabulary file says: NFC, white space to one blank, lower case, words with an end mark."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(open(path, encoding="utf-8").read())
+        self.path = path
         self.end = spec["model"]["end_of_word_suffix"]
         self.ids: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special, self.special_ids = _specials(spec)
         self.tokens |= {i: t for t, i in self.special_ids.items()}
-        self.library = Tokenizer.from_file(path)
         self.symbols = byte_symbols()
         self.last = {s: chr(0xE000 + k) for k, s in enumerate(self.symbols)}
         self.inside = self._pairs()
@@ -117,6 +115,13 @@ class WordCodec:
         self.words: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer; loaded for texts with letters beyond SAFE only."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _short(self, token: str) -> str:
         """A token with one character a symbol: a last symbol and its end mark become one private character."""
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -195,13 +200,8 @@ class ByteCodec:
 
     def __init__(self, path: str, specials: bool = True):
         """specials: control strings of the vocabulary that occur in a text become their ids, as the library does unless told otherwise."""
-        from tokenizers import Tokenizer
-
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path = path
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.merger = Merger(spec["model"]["vocab"], merges)
         self.stand_in = dict(enumerate(byte_symbols()))
@@ -218,6 +218,17 @@ class ByteCodec:
         for t, i in self.special_ids.items():
             self.bytes[i] = t.encode()
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer; loaded for texts with letters beyond SAFE only."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        out.encode_special_tokens = True
+        return out
+
     def _words(self, text: str) -> list[str] | bytes:
         """Pre-tokens, or the ids themselves where the fast pattern doesn't hold."""
         if _is_latin(text):
