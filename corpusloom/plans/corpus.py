@@ -58,6 +58,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, substr(lower(text)
 SELECT doc_id, lang, source, length(text) AS chars FROM r WHERE n = 1"""
 
 
+def canonical_text(spark, d):
+    """Of each language and source one row a text, case aside; the whole text is the key, by its hash."""
+    x = documents(spark, d).where("text <> ''").select("doc_id", "lang", "source", "text")
+    kept = R.keep_canonical(x, [F.col("lang"), F.col("source"), F.sha2(F.lower("text").cast("binary"), 256)], "text", "doc_id")
+    return kept.select("doc_id", "lang", "source", F.length("text").cast("long").alias("chars"))
+
+
+CANONICAL_TEXT = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, lower(text) ORDER BY length(text) DESC, doc_id DESC) AS n FROM documents WHERE text <> '')
+SELECT doc_id, lang, source, length(text) AS chars FROM r WHERE n = 1"""
+
+
 def hash_split(spark, d):
     b = R.hash_bucket([F.lower("text"), F.col("lang")], 10_000)
     return documents(spark, d).where("text is not null and lang is not null").select("doc_id", b.alias("bucket"), R.split_name(b, 5, 105).alias("split"))
@@ -308,6 +319,7 @@ QUERIES = {
     "x9_task_resolution": (task_resolution, TASK_RESOLUTION),
     "x10_format_counters": (format_counters, FORMAT_COUNTERS),
     "a8_canonical_pick": (canonical_pick, CANONICAL_PICK),
+    "a8_canonical_text": (canonical_text, CANONICAL_TEXT),
     "f2_label_repair": (label_repair, LABEL_REPAIR),
     "f6_misplaced_repair": (misplaced_repair, MISPLACED_REPAIR),
     "u6_hash_split": (hash_split, HASH_SPLIT),

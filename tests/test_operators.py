@@ -145,3 +145,13 @@ def test_sentence_moves():
 def test_targets(spark):
     df = spark.createDataFrame([("<BR2PT> a b",), ("<CLS> equal",), ("<CLS> no",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(X.target_format(F.col("t"))).collect()] == ["translation", "classification", "bad", "bad", "bad"]
+
+
+def test_texts_that_only_begin_alike_stay(spark, tmp_path):
+    begin = "The same twenty characters and more, "
+    rows = [(1, begin + "one"), (2, begin + "two"), (3, (begin + "TWO").upper()), (4, begin + "two"), (5, ""), (6, None), (7, "ẞ" + begin), (8, "other")]
+    spark.createDataFrame([(k, t, "xx" if k == 8 else "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    from corpusloom import plans
+
+    got = plans.queries()["a8_canonical_text"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.chars) for r in got) == [(1, len(rows[0][1])), (4, len(rows[3][1])), (7, len(rows[6][1])), (8, 5)]
