@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 SECTION = 8
 #: A phrase has up to four words, fewer where a sentence ends; a word of over 64 characters is cut.
 _PHRASE = r"(?:\S{0,63}[^\s.!?][^\S\n]+){0,3}\S{1,64}"
-_WORD = r"\S{1,64}"
-#: Texts of fewer characters are marked by words as well.
-SHORT = 256
 #: Documents of a bucket of neighbours, and buckets up to which their heads are broadcast.
 BUCKET_ROWS, BROADCAST_BUCKETS = 2000, 50_000
 
 
 def _marks(text: Column) -> Column:
     phrases = F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(0))
-    words = F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(phrases, words), lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.array_distinct(F.transform(phrases, lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:

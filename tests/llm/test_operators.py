@@ -265,6 +265,21 @@ def test_fingerprints(spark, monkeypatch):
     assert pair.select(merkle.differing_paragraphs(F.col("x"), F.col("y"))).first()[0] == [1, 3]
 
 
+def marked_alike(spark, pairs):
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, a string, b string")
+    both = merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_")
+    return [r[0] for r in both.orderBy("k").select(merkle.likeness("a_", "b_")).collect()]
+
+
+def test_likeness_does_not_depend_on_a_size(spark):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    cuts = [(text[:n], text[: n * 3 // 4]) for n in range(228, 354, 6)]
+    assert all(len(a) < 256 or len(b) < 256 for a, b in cuts[:3]) and any(len(a) >= 256 > len(b) for a, b in cuts)
+    got = marked_alike(spark, cuts)
+    assert min(got) > 0.6
+
+
 # ---- 5, 9: models -------------------------------------------------------------------------------------------------------------
 
 
