@@ -2,7 +2,7 @@
 
 Paragraphs are lines; a section is SECTION paragraphs in a row.  A paragraph's node is the MD5 of its text, a section's that of its
 paragraphs' nodes, and the root the SHA-256 of the sections' nodes.  Equal roots mean equal texts; where roots differ, the
-sections and paragraphs that differ say where.  Below a paragraph, 32-bit marks of its phrases locate edits inside it and
+sections and paragraphs that differ say where.  32-bit marks of all overlapping runs of words
 serve to measure likeness.  The fingerprint is ``root:sections:paragraphs:marks`` in hexadecimal.
 """
 
@@ -12,15 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTION = 8
-#: A phrase has up to four words, fewer where a sentence ends; a word of over 64 characters is cut.
-_PHRASE = r"(?:\S{0,63}[^\s.!?][^\S\n]+){0,3}\S{1,64}"
+#: Words in a run.
+RUN = 3
+#: Scripts that are written without blanks.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: A unit is a character of those scripts or a word; of a longer word each character with the 15 that follow, but for its last 64.
+_UNIT = rf"(?=([{_DENSE}]|[^\s{_DENSE}]{{1,64}}+(?![^\s{_DENSE}])|[^\s{_DENSE}]{{16}}))(?:[{_DENSE}]|[^\s{_DENSE}]{{1,64}}+(?![^\s{_DENSE}])|\S)"
 #: Documents of a bucket of neighbours, and buckets up to which their heads are broadcast.
 BUCKET_ROWS, BROADCAST_BUCKETS = 2000, 50_000
 
 
-def _marks(text: Column) -> Column:
-    phrases = F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(0))
-    return F.array_distinct(F.transform(phrases, lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))))
+def _marks(units: Column) -> Column:
+    """Marks of all overlapping runs of RUN units, those that begin before the first or end past the last included.
+
+    All texts are marked alike, whatever their size, and a unit put in or taken out changes the runs around it and no others.
+    """
+    at = lambda k: F.coalesce(F.get(units, k), F.lit(""))
+    n = F.size(units)
+    runs = F.transform(F.sequence(F.lit(1 - RUN), n - 1), lambda k: F.xxhash64(*[at(k + j) for j in range(RUN)]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -29,7 +39,8 @@ def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     df = df.withColumn(nodes, F.transform(F.split(F.col(text), "\n"), lambda p: F.md5(p.cast("binary"))))
     count = F.ceil(F.size(nodes) / F.lit(SECTION)).cast("int")
     df = df.withColumn(sections, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.md5(F.array_join(F.slice(F.col(nodes), k * SECTION + 1, F.lit(SECTION)), "").cast("binary"))))
-    return df.withColumn(f"{prefix}root", F.sha2(F.array_join(sections, "").cast("binary"), 256)).withColumn(f"{prefix}marks", _marks(F.col(text)))
+    df = df.withColumn(f"{prefix}root", F.sha2(F.array_join(sections, "").cast("binary"), 256)).withColumn(f"{prefix}units", F.regexp_extract_all(text, F.lit(_UNIT), F.lit(1)))
+    return df.withColumn(f"{prefix}marks", _marks(F.col(f"{prefix}units"))).drop(f"{prefix}units")
 
 
 def fingerprint(prefix: str) -> Column:
@@ -39,7 +50,7 @@ def fingerprint(prefix: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """1 for equal roots, else the share of phrase marks that both trees have (Dice); 0 if neither has any."""
+    """1 for equal roots, else the share of marks that both trees have (Dice); 0 if neither has any."""
     x, y = F.col(f"{a}marks"), F.col(f"{b}marks")
     total = F.size(x) + F.size(y)
     return F.when(F.col(f"{a}root") == F.col(f"{b}root"), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)

@@ -277,7 +277,18 @@ def test_likeness_does_not_depend_on_a_size(spark):
     cuts = [(text[:n], text[: n * 3 // 4]) for n in range(228, 354, 6)]
     assert all(len(a) < 256 or len(b) < 256 for a, b in cuts[:3]) and any(len(a) >= 256 > len(b) for a, b in cuts)
     got = marked_alike(spark, cuts)
-    assert min(got) > 0.6
+    assert min(got) > 0.75 and max(got) - min(got) < 0.1
+
+
+def test_marks_realign_after_an_insertion(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    words = [word() for _ in range(200)]
+    texts = [" ".join(words), " ".join(w + "$$$" for w in words), "\n".join(words), "".join(words), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)), "。".join("".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(30)) for _ in range(12))]
+    assert min(marked_alike(spark, [(t, "new " + t) for t in texts])) > 0.9
+    assert min(marked_alike(spark, [(t, t[:1] + t[2:]) for t in texts])) > 0.9
+    assert min(marked_alike(spark, [(t, t[: len(t) // 2] + "字 x" + t[len(t) // 2 :]) for t in texts])) > 0.9
+    assert max(marked_alike(spark, [(a, b) for a, b in itertools.combinations(texts[:1] + texts[4:], 2)])) < 0.1
 
 
 # ---- 5, 9: models -------------------------------------------------------------------------------------------------------------
