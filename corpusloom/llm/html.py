@@ -27,6 +27,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
+_SHOWN = re.compile(r"[^ \t\n\r\f]")
 
 #: Fixed by the HTML standard: elements without content, with raw text, and laid out within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Elements that end an open paragraph, and which open elements an opening tag ends (up to the given borders).
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
+#: Elements that may stand in a head; any other ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements of which nothing is ever shown as text.
 SILENT = frozenset("head script style textarea title noscript iframe noembed noframes template select button option svg math canvas object audio video datalist xmp".split())
 
@@ -85,6 +88,8 @@ def parse(source: str | None) -> Page:
     border = (None, "", False)
 
     def say(raw: str) -> None:
+        if stack[-1][0] == "head" and _SHOWN.search(raw):  # text ends a head
+            pop_to(len(stack) - 1)
         if raw and not silent:
             run.append((stack[-1][1], entities.unescape(raw) if "&" in raw else raw, link > 0))
 
@@ -132,8 +137,10 @@ def parse(source: str | None) -> Page:
                 if name == "p":
                     run.append(border)
             continue
-        if name in ("html", "body") and len(stack) > 1 and any(x == name for x, _ in stack):
+        if name in ("html", "head", "body") and len(stack) > 1 and any(x == name for x, _ in stack):
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            pop_to(len(stack) - 1)
         if name in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":

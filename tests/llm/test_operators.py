@@ -405,6 +405,21 @@ def test_small_pages(page, text):
     assert html.extract_texts([page], html.default_model()) == [text]
 
 
+@pytest.mark.parametrize(
+    "top",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><script>x</script><body>",
+        "<!doctype html><head><title>t</title><style>y</style>",
+        "<head><noscript>n</noscript><link rel=x></head><body>",
+        "<html><head><head><title>t</title><body class=x>",
+    ],
+)
+def test_an_open_head_ends_where_the_page_begins(top):
+    body = "<article><h1>A B</h1><p>Body text, with a comma.</p></article></body></html>"
+    assert html.extract_texts([top + body], html.default_model()) == ["A B\nBody text, with a comma."]
+    assert any("bare text" in t for n, t, _ in html.parse("<head><title>t</title> bare text").run if n is not None)
+
+
 def test_html_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b c d e f g.</p></article>", "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html.extract_main_text(df).collect()}
