@@ -12,6 +12,15 @@ from corpusloom.operators.relational import hash_bucket
 DIRECTIONS = {"br-pt": "<BR2PT>", "pt-br": "<PT2BR>"}
 LABEL_IDS = {"pt-BR": 0, "pt-PT": 1, "equal": 2}
 CHAT_SYSTEM = "You translate between Brazilian and European Portuguese."
+TASK_MODES = {"multitask": (True, True), "translation": (True, False), "classification": (False, True)}
+_TRANSLATOR = "És um assistente especialista em português europeu e português do Brasil. A tua tarefa é converter frases entre as duas variantes, mantendo o significado, o registo e um estilo natural."
+_LINGUIST = "És um linguista especializado em português europeu e português do Brasil. A tua tarefa é identificar a variante de português de uma frase."
+#: System message and beginning of the user's, by task.
+TASK_PROMPTS = {
+    "translate_br2pt": (_TRANSLATOR, "Converte o seguinte texto de português do Brasil para português europeu, mantendo o sentido e soando natural em português europeu.\n\nTexto: "),
+    "translate_pt2br": (_TRANSLATOR, "Converte o seguinte texto de português europeu para português do Brasil, mantendo o sentido e soando natural em português do Brasil.\n\nTexto: "),
+    "classify": (_LINGUIST, "Qual é a variante de português desta frase? Responde apenas com \"Português do Brasil\" ou \"Português Europeu\".\n\nFrase: "),
+}
 
 
 def repaired_label(raw: Column, aliases: dict[str, str]) -> Column:
@@ -81,6 +90,80 @@ def chat_messages(examples: DataFrame) -> DataFrame:
     return examples.select("source_id", F.array(message("system", F.lit(CHAT_SYSTEM)), message("user", F.col("user_text")), message("assistant", F.col("assistant_text"))).alias("messages"))
 
 
+def _wanted(task_mode: str) -> tuple[Column, Column]:
+    if task_mode not in TASK_MODES:
+        raise ValueError(f"task_mode is one of {', '.join(TASK_MODES)}")
+    translation, classification = TASK_MODES[task_mode]
+    return F.lit(translation), F.lit(classification)
+
+
+def _clean(c: str) -> Column:
+    """Stripped; null if nothing is left."""
+    return F.nullif(T.strip(F.col(c).cast("string")), F.lit(""))
+
+
+def dataset_chat_examples(df: DataFrame, key: str, seed: int, task_mode: str = "multitask", back_share: int = 7000, variety_tags: tuple[str, ...] = ("PtBrVarId", "PtBrVId")) -> DataFrame:
+    """Examples of unified rows by the rule of their dataset and the task mode: ``source_id``, ``dataset``, ``task``, ``source``, ``target``.
+
+    The variety corpus gives its label with the first filled side and no translation.  Other rows with both sides give one translation, its
+    direction by a seeded hash of the key, and each filled side gives its variety; of OpenSubs only rows with both sides do.
+    """
+    translation, classification = _wanted(task_mode)
+    back = hash_bucket([F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))], 10_000) < back_share
+    br, pt, label, dataset = F.col("__br"), F.col("__pt"), F.col("__label"), F.coalesce("dataset", F.lit(""))
+    has_br, has_pt = br.isNotNull(), pt.isNotNull()
+    variety, subtitles = dataset.isin(*variety_tags), dataset == "OpenSubs"
+    both, sides = ~variety & has_br & has_pt, ~variety & (~subtitles | (has_br & has_pt))
+    made = F.array(
+        _example(translation & both & back, "translate_pt2br", pt, br),
+        _example(translation & both & ~back, "translate_br2pt", br, pt),
+        _example(classification & sides & has_br, "classify", br, F.lit("pt-BR")),
+        _example(classification & sides & has_pt, "classify", pt, F.lit("pt-PT")),
+        _example(classification & variety & label.isin("pt-BR", "pt-PT") & (has_br | has_pt), "classify", F.coalesce(br, pt), label),
+    )
+    clean = df.select(F.col(key), "dataset", _clean("text_pt_br").alias("__br"), _clean("text_pt_pt").alias("__pt"), _clean("label").alias("__label"))
+    return clean.select(F.col(key).alias("source_id"), "dataset", F.inline(F.array_compact(made))).drop("ref_kind")
+
+
+def _unprefixed(text: str, given: str) -> Column:
+    """The text, or else the input without the task's prefix; null if both are blank."""
+    return F.coalesce(_clean(text), F.nullif(F.regexp_replace(T.strip(F.col(given)), r"^<[^>]+>\s*", ""), F.lit("")))
+
+
+def task_verdicts(translations: DataFrame, classifications: DataFrame, key: str, task_mode: str = "multitask") -> DataFrame:
+    """Every row of the two task files that the mode reads: ``source_id``, ``task``, ``source``, ``target``, ``verdict``.
+
+    Translations have ``source_text``, ``input_text``, ``target_text`` and ``direction`` (else the input's prefix tells); classifications ``text``,
+    ``input_text`` and ``label``.  The verdict is ``example``, ``skipped`` (something is missing) or ``skipped_equal`` (a text whose label is no variety).
+    """
+    translation, classification = _wanted(task_mode)
+    said, given = F.lower(T.strip(F.coalesce("direction", F.lit("")))), T.strip(F.col("input_text"))
+    way = F.when(said != "", said).when(given.startswith("<br-pt>"), "br2pt").when(given.startswith("<pt-br>"), "pt2br")
+    t = translations.where(translation).select(F.col(key).alias("source_id"), F.when(way.isin("br2pt", "pt2br"), F.concat(F.lit("translate_"), way)).alias("task"), _unprefixed("source_text", "input_text").alias("source"), _clean("target_text").alias("target"))
+    t = t.withColumn("verdict", F.when(F.col("task").isNotNull() & F.col("source").isNotNull() & F.col("target").isNotNull(), "example").otherwise("skipped"))
+    name = F.lower(_clean("label"))
+    c = classifications.where(classification).select(F.col(key).alias("source_id"), F.lit("classify").alias("task"), _unprefixed("text", "input_text").alias("source"), F.when(name == "pt-br", "pt-BR").when(name == "pt-pt", "pt-PT").alias("target"))
+    c = c.withColumn("verdict", F.when(F.col("source").isNull(), "skipped").when(F.col("target").isNull(), "skipped_equal").otherwise("example"))
+    return t.unionByName(c)
+
+
+def task_examples(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where("verdict = 'example'").select("source_id", F.lit("GPT").alias("dataset"), "task", "source", "target")
+
+
+def task_counts(verdicts: DataFrame) -> DataFrame:
+    """Rows read, examples, examples of each task and texts skipped for their label."""
+    made = F.col("verdict") == "example"
+    return verdicts.agg(F.count("*").alias("rows"), F.count_if(made).alias("examples"), *[F.count_if(made & (F.col("task") == t)).alias(t) for t in TASK_PROMPTS], F.count_if(F.col("verdict") == "skipped_equal").alias("skipped_equal"))
+
+
+def task_messages(examples: DataFrame) -> DataFrame:
+    """The nested form of examples of any task: system, user and assistant messages."""
+    prompt = lambda k: F.create_map(*[F.lit(x) for t, p in TASK_PROMPTS.items() for x in (t, p[k])])[F.col("task")]
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return examples.select("source_id", F.array(message("system", prompt(0)), message("user", F.concat(prompt(1), "source")), message("assistant", F.col("target"))).alias("messages"))
+
+
 def multitask(examples: DataFrame) -> DataFrame:
     """Encoder prefix to decoder token; ``valid`` tells whether the prefix is known."""
     prefix = F.regexp_extract("input_text", r"^<([^>]*)>", 1)

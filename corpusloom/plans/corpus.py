@@ -199,6 +199,7 @@ def classification_examples(spark, d):
     return X.classification_examples(p, "line_no", "br", "pt", "label")
 
 
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _SQUEEZE = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 CLASSIFICATION = f"""WITH {PAIRS}, p AS (SELECT line_no, CASE WHEN line_no % 9 = 0 THEN 'pt-BR' END AS label, br, CASE line_no % 4 WHEN 0 THEN ' ' || br WHEN 1 THEN '' ELSE pt END AS pt FROM pairs),
 f AS (SELECT *, {_SQUEEZE.format("coalesce(br, '')")} <> '' AS has_a, {_SQUEEZE.format("coalesce(pt, '')")} <> '' AS has_b, {_SQUEEZE.format("coalesce(br, '')")} = {_SQUEEZE.format("coalesce(pt, '')")} AS same FROM p),
@@ -258,6 +259,46 @@ e AS (
 SELECT line_no, dataset, bucket, task, length(s) AS source_chars, length(t) AS target_chars, ref_kind FROM e"""
 
 
+def dataset_chat(spark, d):
+    return X.dataset_chat_examples(_unified(spark, d), "line_no", seed=42)
+
+
+DATASET_CHAT = f"""WITH {PAIRS}, u AS (SELECT line_no, CASE line_no % 4 WHEN 0 THEN 'PtBrVId' WHEN 1 THEN 'Gold' WHEN 2 THEN 'OpenSubs' ELSE 'FRMT' END AS dataset,
+  CASE line_no % 8 WHEN 0 THEN 'pt-PT' WHEN 4 THEN 'x' END AS label, CASE WHEN line_no % 5 <> 0 THEN nullif({_STRIP.format('br')}, '') END AS br, nullif({_STRIP.format('pt')}, '') AS pt,
+  {_BUCKET.format("'42:' || line_no", 10000)} < 7000 AS back FROM pairs)
+SELECT line_no AS source_id, dataset, CASE WHEN back THEN 'translate_pt2br' ELSE 'translate_br2pt' END AS task, CASE WHEN back THEN pt ELSE br END AS source, CASE WHEN back THEN br ELSE pt END AS target
+  FROM u WHERE dataset <> 'PtBrVId' AND br IS NOT NULL AND pt IS NOT NULL
+UNION ALL SELECT line_no, dataset, 'classify', br, 'pt-BR' FROM u WHERE dataset <> 'PtBrVId' AND br IS NOT NULL AND (dataset <> 'OpenSubs' OR pt IS NOT NULL)
+UNION ALL SELECT line_no, dataset, 'classify', pt, 'pt-PT' FROM u WHERE dataset <> 'PtBrVId' AND pt IS NOT NULL AND (dataset <> 'OpenSubs' OR br IS NOT NULL)
+UNION ALL SELECT line_no, dataset, 'classify', coalesce(br, pt), label FROM u WHERE dataset = 'PtBrVId' AND label IN ('pt-BR', 'pt-PT') AND coalesce(br, pt) IS NOT NULL"""
+
+
+def _task_files(spark, d):
+    """The two task files as if a pair were a row of each: some fields empty, directions in a field or a prefix, labels in any spelling."""
+    p, k = pairs(spark, d), F.pmod(F.col("pair_id"), F.lit(4))
+    own = F.when(F.col("pair_id") % 3 != 0, F.col("br"))
+    t = p.select("line_no", own.alias("source_text"), F.concat(F.lit("<br-pt> "), "br").alias("input_text"), F.col("pt").alias("target_text"), F.when(k == 0, "br2pt").when(k == 1, " PT2BR ").when(k == 2, "xx").alias("direction"))
+    c = p.select("line_no", own.alias("text"), F.concat(F.lit("<id> "), "br").alias("input_text"), F.when(k == 0, "pt-BR").when(k == 1, " PT-PT ").when(k == 2, "equal").alias("label"))
+    return X.task_verdicts(t, c, "line_no")
+
+
+def task_chat(spark, d):
+    return X.task_examples(_task_files(spark, d))
+
+
+def task_counts(spark, d):
+    return X.task_counts(_task_files(spark, d))
+
+
+_TASK_FILES = f"""{PAIRS}, u AS (SELECT line_no, pair_id % 4 AS k, nullif({_STRIP.format('br')}, '') AS br, nullif({_STRIP.format('pt')}, '') AS pt FROM pairs),
+v AS (SELECT line_no, CASE k WHEN 1 THEN 'translate_pt2br' WHEN 2 THEN NULL ELSE 'translate_br2pt' END AS task, br AS source, pt AS target, CASE WHEN k <> 2 AND br IS NOT NULL AND pt IS NOT NULL THEN 'example' ELSE 'skipped' END AS verdict FROM u
+  UNION ALL SELECT line_no, 'classify', br, CASE k WHEN 0 THEN 'pt-BR' WHEN 1 THEN 'pt-PT' END, CASE WHEN br IS NULL THEN 'skipped' WHEN k > 1 THEN 'skipped_equal' ELSE 'example' END FROM u)"""
+TASK_CHAT = f"WITH {_TASK_FILES} SELECT line_no AS source_id, 'GPT' AS dataset, task, source, target FROM v WHERE verdict = 'example'"
+TASK_COUNTS = f"""WITH {_TASK_FILES}, e AS (SELECT * FROM v WHERE verdict = 'example')
+SELECT (SELECT count(*) FROM v) AS rows, count(*) AS examples, count(*) FILTER (WHERE task = 'translate_br2pt') AS translate_br2pt, count(*) FILTER (WHERE task = 'translate_pt2br') AS translate_pt2br,
+  count(*) FILTER (WHERE task = 'classify') AS classify, (SELECT count(*) FROM v WHERE verdict = 'skipped_equal') AS skipped_equal FROM e"""
+
+
 def _task_rows(spark, d):
     p = pairs(spark, d)
     task = F.when(F.col("line_no") % 4 == 0, " translate_br2pt ").when(F.col("line_no") % 4 == 1, "")
@@ -336,6 +377,9 @@ QUERIES = {
     "x1_translation": (translation_examples, TRANSLATION),
     "x2_classification": (classification_examples, CLASSIFICATION),
     "x5_chat": (chat_examples, CHAT),
+    "x5_dataset_chat": (dataset_chat, DATASET_CHAT),
+    "x7_task_chat": (task_chat, TASK_CHAT),
+    "x7_task_counts": (task_counts, TASK_COUNTS),
     "x8_multitask": (multitask_examples, MULTITASK),
     "k8_parallel_export": (parallel_export, PARALLEL_EXPORT),
 }

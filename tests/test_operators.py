@@ -155,3 +155,32 @@ def test_texts_that_only_begin_alike_stay(spark, tmp_path):
 
     got = plans.queries()["a8_canonical_text"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.chars) for r in got) == [(1, len(rows[0][1])), (4, len(rows[3][1])), (7, len(rows[6][1])), (8, 5)]
+
+
+UNIFIED_ROWS = [(1, "OpenSubs", " a ", "b", None), (2, "OpenSubs", "a", " ", None), (3, "PtBrVarId", "", "b", "pt-PT"), (4, "PtBrVId", "a", "b", "x"), (5, "FRMT", "a", "b", None), (6, None, None, "b", "pt-BR")]
+
+
+@pytest.mark.parametrize("mode, back", [("multitask", 0), ("translation", 10_000), ("classification", 0)])
+def test_chat_examples_of_each_dataset(spark, mode, back):
+    df = spark.createDataFrame(UNIFIED_ROWS, "k long, dataset string, text_pt_br string, text_pt_pt string, label string")
+    got = X.dataset_chat_examples(df, "k", 1, mode, back)
+    way = ("translate_pt2br", "b", "a") if back else ("translate_br2pt", "a", "b")
+    translations = {(1, *way), (5, *way)}
+    classes = {(k, "classify", t, v) for k in (1, 5) for t, v in (("a", "pt-BR"), ("b", "pt-PT"))} | {(3, "classify", "b", "pt-PT"), (6, "classify", "b", "pt-PT")}
+    wanted = {"multitask": translations | classes, "translation": translations, "classification": classes}[mode]
+    assert sorted((r.source_id, r.task, r.source, r.target) for r in got.collect()) == sorted(wanted)
+    said = X.task_messages(got).first().messages
+    assert [m.role for m in said] == ["system", "user", "assistant"] and said[1].content.endswith((": a", ": b"))
+    with pytest.raises(ValueError):
+        X.dataset_chat_examples(df, "k", 1, "both")
+
+
+def test_task_files_and_what_is_skipped(spark):
+    t = [(1, "a", "<pt-br> z", "b", " BR2PT"), (2, " ", " <pt-br> z", "b", None), (3, "a", "z", "b", ""), (4, "a", "<br-pt> z", "b", "xx"), (5, None, "<br-pt> ", "b", None), (6, "a", "<br-pt> a", " ", None)]
+    c = [(7, "a", None, " PT-br"), (8, None, "<id> z", "pt-PT"), (9, "a", "z", "equal"), (10, "a", "z", None), (11, "", "<id>", "equal")]
+    t, c = spark.createDataFrame(t, "k long, source_text string, input_text string, target_text string, direction string"), spark.createDataFrame(c, "k long, text string, input_text string, label string")
+    translations, classes = [(1, "translate_br2pt", "a", "b"), (2, "translate_pt2br", "z", "b")], [(7, "classify", "a", "pt-BR"), (8, "classify", "z", "pt-PT")]
+    for mode, wanted, counts in (("multitask", translations + classes, (11, 4, 1, 1, 2, 2)), ("translation", translations, (6, 2, 1, 1, 0, 0)), ("classification", classes, (5, 2, 0, 0, 2, 2))):
+        got = X.task_verdicts(t, c, "k", mode)
+        assert sorted((r.source_id, r.task, r.source, r.target) for r in X.task_examples(got).collect()) == wanted
+        assert tuple(X.task_counts(got).first()) == counts
