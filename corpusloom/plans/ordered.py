@@ -87,6 +87,17 @@ k AS (SELECT s.k, CASE WHEN j >= 0.3 - 1e-9 THEN j END AS j FROM s LEFT JOIN j O
 SELECT count(*) AS n, count(j) AS near, count(*) FILTER (WHERE j >= 0.7 - 1e-9) AS very_near, round(quantile_cont(j, 0.5), 6) AS median FROM k"""
 
 
+def nearest_report(spark, d):
+    p = pairs(spark, d).select("line_no", T.tokens(F.lower("br")).alias("t"))
+    return N.nearest_report(N.nearest_jaccard(p, "line_no", "t"))
+
+
+NEAREST_REPORT = f"""WITH {PAIRS}, s AS (SELECT line_no AS k, {_TOK} AS s FROM pairs),
+j AS (SELECT a.k, max(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS j FROM s a JOIN s b ON a.k <> b.k AND len(a.s) > 0 AND len(b.s) > 0 GROUP BY a.k),
+k AS (SELECT s.k, CASE WHEN len(s.s) = 0 AND (SELECT count(*) FROM s WHERE len(s) = 0) > 1 THEN 1 ELSE coalesce(j, 0) END AS j FROM s LEFT JOIN j ON s.k = j.k)
+SELECT count(*) AS n, coalesce(round(avg(j), 4), 0) AS mean_max, coalesce(round(quantile_disc(j, 0.9), 4), 0) AS p90_max, count(*) FILTER (WHERE j >= 0.6) AS ge_0_6, count(*) FILTER (WHERE j >= 0.7) AS ge_0_7 FROM k"""
+
+
 def admission(spark, d):
     """Candidates of each of 64 segments in order of line, with the verdict of the admission control."""
     p = pairs(spark, d).withColumn("segment", F.pmod("pair_id", F.lit(64)))
@@ -139,6 +150,7 @@ QUERIES = {
     "j11_assignment": (_align("optimal"), None),
     "j12_greedy": (_align("greedy"), None),
     "j14_near_pairs": (near_pairs, NEAR_PAIRS),
+    "a32_nearest_report": (nearest_report, NEAREST_REPORT),
     "q7_sentence_moves": (sentence_moves, None),
     "t34_alignment_flags": (alignment_flags, None),
     "t58_boilerplate": (boilerplate, None),

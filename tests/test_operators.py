@@ -184,3 +184,20 @@ def test_task_files_and_what_is_skipped(spark):
         got = X.task_verdicts(t, c, "k", mode)
         assert sorted((r.source_id, r.task, r.source, r.target) for r in X.task_examples(got).collect()) == wanted
         assert tuple(X.task_counts(got).first()) == counts
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_nearest_jaccard_of_every_row(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(k, [str(rng.randrange(60)) for _ in range(rng.randrange(9))]) for k in range(40)] + [(40, None), (41, []), (42, ["only"]), (43, ["1", "2", "1"]), (44, ["2", "1"])]
+    got = N.nearest_jaccard(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t")
+    sets = {k: set(t or ()) for k, t in rows}
+    want = {k: max(len(s & t) / len(s | t) if s | t else 1.0 for m, t in sets.items() if m != k) for k, s in sets.items()}
+    assert {r.k: r.j for r in got.collect()} == want and 0 < min(x for x in want.values() if x) < 0.3
+    assert N.nearest_jaccard(spark.createDataFrame([(1, []), (2, ["a"])], "k long, t array<string>"), "k", "t").agg(F.max("j")).first()[0] == 0
+    ranked = sorted(want.values())
+    r = N.nearest_report(got).first()
+    assert (r.n, r.mean_max, r.p90_max, r.ge_0_6, r.ge_0_7) == (45, round(sum(ranked) / 45, 4), round(ranked[-(-9 * 45 // 10) - 1], 4), sum(x >= 0.6 for x in ranked), sum(x >= 0.7 for x in ranked))
+    empty = N.nearest_report(N.nearest_jaccard(got.where("k < 0").select("k", F.array(F.lit("x")).alias("t")), "k", "t")).first()
+    assert tuple(empty) == (0, 0.0, 0.0, 0, 0)
