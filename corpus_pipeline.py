@@ -37,16 +37,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id, one with the smallest text."""
+    """Of each group of near duplicates the document with the smallest id stays, of one id the smallest text.
+
+    Rows that repeat an id are documents of their own: of those with equal texts one stays, others only go if they are linked.
+    """
     work = Workspace(spark, "near-duplicates")
-    found = ngramjoin.near_duplicates(docs)
-    out_of = work.table(found.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct())
-    kept = docs.select(COLUMNS).join(out_of, "doc_id", "left_anti")
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    rows = docs.select(COLUMNS).withColumn("row", F.col("doc_id"))
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    repeated = with_id.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        single = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*")
-        kept = single.unionByName(kept.where(F.col("doc_id").isNull()))
-    return kept.select(COLUMNS)
+        order = [F.col("doc_id").asc(), F.col("text").asc_nulls_last()]
+        single = with_id.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("s")).select("doc_id", "text", "s.*")
+        numbered = single.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+        rows = work.table(numbered).unionByName(rows.where(F.col("doc_id").isNull()))
+    found = ngramjoin.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    out_of = work.table(found.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("row")).distinct())
+    return rows.join(out_of, "row", "left_anti").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

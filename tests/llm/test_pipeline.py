@@ -32,3 +32,14 @@ def test_odd_rows_pass_through(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, tables).collect()
     assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), tables).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark, tables):
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    texts = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("c")), (3, text("d")), (4, None), (4, text("e")), (5, text("d") + " more"), (None, text("f"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, tables)
+    wanted = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, None), (4, text("e")), (None, text("f"))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
+    pieces = corpus_pipeline.packing_stage(spark, kept, tables).collect()
+    assert {r.doc_id for r in pieces} >= {1, 2, 3, 4}
