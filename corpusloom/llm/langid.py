@@ -12,14 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Buckets of the n-gram hash, and the lengths of n-grams in UTF-8 bytes.
 BUCKETS, GRAMS = 1 << 15, (3, 4)
 #: The fit takes about so many documents a language, chosen by a hash of their ids, of at most so many characters each.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 200
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: N-grams of evidence that a score is based on at most: the posterior of a long text as if it were this long.
 EVIDENCE = 60
 UNKNOWN = "und"
@@ -96,16 +96,21 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def training_rows(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample: SAMPLE_DOCS documents a language by a hash of their keys, not those that ``held_out`` (a Column) marks."""
-    known = df.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("y"), F.col(text).cast("string").alias("t")).where(F.col("y").isNotNull() & F.col("t").isNotNull() & ~held_out)
-    sizes = known.where(F.length("t").between(1, SAMPLE_CHARS)).groupBy("y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "y").limit(MAX_LANGUAGES).collect()
+    """About SAMPLE_DOCS documents of every language by a hash of their keys, not those that ``held_out`` (a Column) marks.
+
+    Documents of up to SAMPLE_CHARS characters are taken; of a language without any, beginnings of longer ones.
+    """
+    known = df.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("y"), F.col(text).cast("string").alias("t")).where(F.col("y").isNotNull() & (F.length("t") > 0) & ~held_out)
+    short = F.length("t") <= SAMPLE_CHARS
+    sizes = known.groupBy("y").agg(F.count_if(short).alias("n"), F.count("*").alias("every")).collect()
     if not sizes:
         return []
-    wanted = F.lit(False)
-    for r in sizes:
-        share = min(1.0, 1.25 * SAMPLE_DOCS / r["n"]) * (1 << 20)
-        wanted = wanted | ((F.col("y") == r["y"]) & (F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < F.lit(int(share))))
-    got = known.where(F.length("t").between(1, SAMPLE_CHARS) & wanted).select("k", "t", "y").limit(2 * SAMPLE_DOCS * len(sizes)).collect()
+    shares = [(r["y"], r["n"] == 0, int(min(1.0, 1.25 * SAMPLE_DOCS / (r["n"] or r["every"])) * (1 << 20))) for r in sizes]
+    wanted = F.broadcast(df.sparkSession.createDataFrame(shares, "wy string, long boolean, share long"))
+    taken = (short | F.col("long")) & (F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 20)) < F.col("share"))
+    sample = known.join(wanted, F.col("y") == F.col("wy")).where(taken).select("k", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "y")
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k", "t")))  # rows that share a key are taken together
+    got = sample.withColumn("place", place).where(F.col("place") <= 2 * SAMPLE_DOCS).select("k", "t", "y").collect()
     return [(r["t"], r["y"]) for r in sorted(got, key=lambda r: (str(r["k"]), r["t"], r["y"])) if has_letter(r["t"])]
 
 

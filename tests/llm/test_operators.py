@@ -315,6 +315,13 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(k, "ab cd " * 5, f"l{k:03}") for k in range(230)] + [(300, "long words " * 3000, "long"), (301, "", "none"), (302, "short", "both"), (303, "x" * 30_000, "both")]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False))
+    assert {y for _, y in got} == {y for _, _, y in rows} - {"none"}
+    assert {y: len(t) for t, y in got if y in ("long", "both")} == {"long": langid.SAMPLE_CHARS, "both": 5}
+
+
 def test_batches_do_not_change_language_sums():
     model = langid.fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")])
     texts = [langid.normal_bytes(t) for t in ("a", "le chat", "", "the dog and", "zz")]
