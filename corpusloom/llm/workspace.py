@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,21 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder of this machine."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a session whose tasks all run in this machine's one process sets a temporary folder of its own; any other is
+    told to name a folder, as executors on several machines share no local one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Workspace:
-    """A folder of intermediate tables.  A table that a lost executor's tasks need again is still there, as files that all share."""
+    """A folder of intermediate tables.  A table that a lost executor's tasks need again is still there, as files that all share.
+
+    Tables go as soon as they are used up (``drop``); what results still read, and the folder itself, go when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        where, files = self._hadoop(self.path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def _hadoop(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -37,5 +54,18 @@ class Workspace:
         """Deletes tables that no plan still to be run reads."""
         for t in tables:
             if path := t.__dict__.get("workspace_path"):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                where, files = self._hadoop(path)
+                files.delete(where, True)
+
+    def close(self) -> None:
+        """Deletes the folder: for callers that have written what they were given."""
+        where, files = self._hadoop(self.path)
+        files.delete(where, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is none of ``taken``, whatever the case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

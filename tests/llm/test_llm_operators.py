@@ -214,29 +214,59 @@ def test_connected_components(spark):
 # ---- 6: top-k --------------------------------------------------------------------------------------------------------------
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "RANGE", 40)
-    rng = random.Random(7)
-    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(8)]) for k in range(150)]
-    rows += [(150, None), (151, [float("nan")] * 8), (152, [None] * 8), (153, [1.0]), (None, [1.0] * 8), (154, [float("inf")] * 8)]
-    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
-    ints = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows[:150]}
-    want = []
-    for q in range(0, 150, 50):
-        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), k) for k, v in ints.items() if k != q)[:5]
-        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
-    assert sorted(got) == sorted(want)
+def brute_top(rows, step=50, k=5):
+    """Best candidates by plain sums; rows of (key, integers), a query being the smallest vector of its key and length."""
+    asked = {}
+    for i, v in rows:
+        if i % step == 0:
+            asked[i, len(v)] = min(asked.get((i, len(v)), v), v)
+    out = {}
+    for (i, n), q in asked.items():
+        out.setdefault(i, []).extend((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == n)
+    return sorted((i, n, j, -s) for i, found in out.items() for n, (s, j) in enumerate(sorted(found)[:k], 1))
 
 
-def test_blocks_are_left_out_and_nothing_is_lost():
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "RANGE", 3)
+    monkeypatch.setattr(topk, "SUMMARY", 2)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = random.Random(7)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(8)]) for k in range(200)]
+    rows += [(50, [0.25] * 8), (3, [1.0] * 8), (3, [1.0] * 8), (3, [1.0] * 8), (7, [1.0] * 8), (100, [0.5, 1.0]), (101, [2.0, 2.0]), (102, [])]
+    odd = [(300, None), (301, [float("nan")] * 8), (302, [None] * 8), (303, [1.0]), (None, [1.0] * 8), (304, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("v", F.lit(1)).withColumn("dim", F.lit(2)).repartition(5)
+    got = [tuple(r) for r in topk.top_k(df).collect()]
+    ints = [(k, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for k, v in rows]
+    assert sorted(got) == brute_top(ints)
+
+
+def test_top_k_of_far_ids_and_large_numbers(spark):
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (2**60, [9.0, 9.0]), (-(2**62), [8.0, 8.0]), (2**63 - 1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df).collect()]
+    assert sorted(got) == brute_top([(k, [int(256 * x) for x in v]) for k, v in rows]) and (0, 1, 2**60, 256 * 256 * 9) in got
+    for size in (2.0**20, 2.0**22, 2.0**24, 2.0**40):  # sums within 53 bits, within 63, beyond
+        rows = [(k, [size * (1 + k % 7), -size * (k % 5), size + k]) for k in range(60)]
+        want = [(q, r, v, min(max(s, -(2**63)), 2**63 - 1)) for q, r, v, s in brute_top([(k, [int(256 * x) for x in v]) for k, v in rows])]
+        assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) == want
+    assert topk.top_k(spark.createDataFrame([(1, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 24, 1 << 34])
+def test_blocks_are_left_out_and_nothing_is_lost(scale):
     rng = np.random.default_rng(8)
-    v = rng.integers(-50, 50, (700, 6))
-    q = rng.integers(-50, 50, (9, 6))
-    who, ids, score = topk.top_in_blocks(q, np.arange(-9, 0), v, np.arange(700), 4, block=16)
-    for k in range(9):
-        s = v @ q[k]
-        want = sorted(zip(-s, range(700)))[:4]
-        assert [(-a, b) for a, b in zip(score[who == k], ids[who == k])] == [(int(a), b) for a, b in want]
+    v = rng.integers(-50, 50, (700, 6)) * scale
+    v[:20] *= 3  # what is large stands together
+    q = rng.integers(-50, 50, (9, 6)) * scale
+    for start in (None, [int(sorted((v @ q[k]).tolist())[-4]) if scale < 1 << 30 else -(1 << 90) for k in range(9)]):
+        visits = []
+        who, ids, score = topk.top_in_blocks(q, np.arange(-9, 0), v, np.arange(700), 4, block=10, start=start, visits=visits)
+        for k in range(9):
+            s = [sum(int(a) * int(b) for a, b in zip(x, q[k])) for x in v]
+            want = sorted((-a, j) for j, a in enumerate(s))[:4]
+            assert [(-a, int(b)) for w, a, b in zip(who, score, ids) if w == k] == want
+        assert not visits or visits[0][0] < 0.7 * visits[0][1]
 
 
 # ---- 4: fingerprints ---------------------------------------------------------------------------------------------------------
