@@ -272,27 +272,108 @@ def test_blocks_are_left_out_and_nothing_is_lost(scale):
 # ---- 4: fingerprints ---------------------------------------------------------------------------------------------------------
 
 
+DENSE = ((0x4E00, 0x9FFF), (0x3040, 0x30FF), (0x0E00, 0x0EFF))
+
+
+def runs_of(text):
+    """All runs of three units of a text's lines, sign by sign."""
+    white, out = " \t\x0b\f\r", set()
+    single = lambda c: any(a <= ord(c) <= b for a, b in DENSE) or ord(c) < 33
+    past = lambda p, j: j + len(p[j:]) - len(p[j:].lstrip(white))
+    for p in text.split("\n"):
+        units, i = [], 0
+        while i < len(p):
+            j = i
+            while j < len(p) and p[j] not in white and not single(p[j]):
+                j += 1
+            if p[i] in white:
+                end = j = past(p, i)
+            elif 0 < j - i <= 64:
+                end = j = past(p, j)
+            else:
+                end = j = past(p, i + 1)
+                for _ in range(7):
+                    end = past(p, end + 1) if end < len(p) else end
+            units.append(p[i:end])
+            i = j
+        out |= {tuple(units[k : k + 3]) for k in range(len(units))}
+    return out
+
+
+def dice(a, b):
+    x, y = runs_of(a), runs_of(b)
+    return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 3)
     rng = random.Random(9)
-    line = lambda: " ".join(rng.choice(["ab", "cde", "f", "ghij."]) for _ in range(rng.randrange(30)))
-    texts = ["\n".join(line() for _ in range(rng.randrange(1, 12))) for _ in range(20)] + ["", None, "é🙂" * 20]
-    df = docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 37 - 100)
-    got = {(r.doc_id + 100) // 37: r for r in merkle.compare_with_edits(df).collect()}
-    for k, t in enumerate(texts):
-        t, nxt = t or "", (texts[k - 1] if k else texts[-1]) or ""
+    line = lambda: " ".join(rng.choice(["ab", "cde", "f", "ghij.", "x" * 70, "日本語", " "]) for _ in range(rng.randrange(12)))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 9))) for _ in range(30)] + ["", None, "é🙂" * 20]
+    keys = [k * 37 - 100 for k in range(len(texts) - 2)] + [2**62, -(2**63)]
+    df = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").withColumn("k", F.lit("x")).withColumn("t", F.lit(1)).withColumn("__b", F.lit(1)).repartition(4)
+    got = {r.doc_id: r for r in merkle.compare_with_edits(df).collect()}
+    order = sorted(zip(keys, texts), reverse=True)
+    for (k, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
         m = len(t) // 3
         edited = t[: len(t) - m] + nxt[:m]
         assert (got[k].n_chars, got[k].edited) == (len(t), edited)
-        assert (got[k].fingerprint == got[k].edited_fingerprint) == (t == edited)
-        assert 0 <= got[k].near_next <= 1 and 0 <= got[k].near_edited <= 1
-    long = [k for k, t in enumerate(texts) if len(t or "") > 300]
-    assert np.mean([got[k].near_edited for k in long]) > 0.4
-    same = {r.fingerprint for r in merkle.fingerprints(docs(spark, ["a\nb", "a\nb", "a\n b"])).collect()}
-    assert len(same) == 2
-    one = merkle.fingerprints(docs(spark, ["a\nb\nc", "a\nx\nc\nd"])).orderBy("doc_id").collect()
-    pair = spark.createDataFrame([(one[0].fingerprint, one[1].fingerprint)], "x string, y string")
-    assert pair.select(merkle.differing_paragraphs(F.col("x"), F.col("y"))).first()[0] == [1, 3]
+        assert (got[k].fingerprint == got[k].edited_fingerprint) == (t == edited) and len(got[k].fingerprint) <= 750
+        if max(map(len, map(runs_of, (t, edited, nxt)))) < merkle.SKETCH:
+            assert got[k].near_edited == pytest.approx(dice(t, edited), abs=1e-6) and got[k].near_next == pytest.approx(dice(t, nxt), abs=1e-6)
+    same = {r.fingerprint for r in merkle.fingerprints(docs(spark, ["a\nb", "a\nb", "a\n b", "a\nb "])).collect()}
+    assert len(same) == 3
+
+
+@pytest.mark.parametrize("keys", ["far", "one", "some"])
+def test_neighbours_of_skewed_keys(spark, monkeypatch, keys):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 10)
+    rng = random.Random(2)
+    ids = {"far": [*range(200), 2**61, -(2**61)], "one": [5] * 150 + [None] * 5 + [*range(30)], "some": [k // 60 for k in range(300)]}[keys]
+    rows = [(k, f"t{j} {rng.random()}") for j, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    dealt, _ = merkle.among_neighbours(df, "k", "t")
+    sizes = [r["count"] for r in dealt.where("__late = 0").groupBy("__b").count().collect()]
+    assert max(sizes) <= 45 and sum(sizes) == len(rows) and len(sizes) >= len(rows) / 45
+    tie = {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
+    got = {r.edited: r for r in merkle.compare_with_edits(df.withColumnsRenamed({"k": "doc_id", "t": "text"})).collect()}
+    for (_, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        assert t[: len(t) - len(t) // 3] + nxt[: len(t) // 3] in got
+
+
+def test_edits_are_located(spark):
+    lines = [f"line {k} of the text" for k in range(41)]
+    changes = [
+        (lines, lines, []),
+        (lines, [*lines[:20], "put in", *lines[20:]], [20]),
+        (lines, ["first", *lines], [0]),
+        (lines, [*lines, "last"], [41]),
+        (lines, [*lines[:5], *lines[6:]], []),
+        (lines, [*lines[:5], "other", *lines[6:]], [5]),
+        (lines, [*lines[:5], "a", *lines[6:30], "b", "c", *lines[30:]], [5, 30, 31]),
+        (lines, [*lines[:8], lines[7], *lines[8:]], [8]),
+        ([""], ["a", "b"], [0, 1]),
+        (["x"] * 9, ["x"] * 12, [9, 10, 11]),
+    ]
+    df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, (a, b, _) in enumerate(changes)], "k int, a string, b string")
+    both = merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_").orderBy("k")
+    assert [r[0] for r in both.select(merkle.differing_paragraphs(F.col("a_sections"), F.col("b_sections"))).collect()] == [want for _, _, want in changes]
+    of = lambda s: [n for x in s for n in x.paragraphs]
+    for r, (a, b, _) in zip(both.collect(), changes):
+        assert len(of(r.a_sections)) == len(a) and [x["first"] for x in r.b_sections][0] == 0 and (r.a_root == r.b_root) == (a == b)
+
+
+def test_likeness_of_long_texts_is_near_the_exact_one(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    texts = [" ".join(words)] + [" ".join(w if rng.random() > share else f"v{rng.randrange(5000)}" for w in words) for share in (0.01, 0.1, 0.3)] + [" ".join(words[:k]) for k in (3000, 100, 40)]
+    df = spark.createDataFrame([(k, texts[0], t) for k, t in enumerate(texts)], "k int, a string, b string")
+    both = merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_").orderBy("k").select(merkle.likeness("a_", "b_").alias("n"), merkle.fingerprint_likeness(merkle.fingerprint("a_"), merkle.fingerprint("b_")).alias("m")).collect()
+    for r, t in zip(both, texts):
+        assert r.n == r.m and r.n == pytest.approx(dice(texts[0], t), abs=0.12)
+    assert both[0].n == 1
 
 
 def marked_alike(spark, pairs):
