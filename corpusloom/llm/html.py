@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.langid import slices
+from corpusloom.llm.workspace import fresh
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+#: A tag: quoted values end with their quote, which one with "<" inside must have white space, a slash or the tag's end behind.
+_TAG_TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"(?:[^\"<]*\"|[^\"]*\"(?=[\s/>]))|'(?:[^'<]*'|[^']*'(?=[\s/>])))*+)>", re.S)
+#: A broken tag: it ends at the next angle bracket, whatever quotes are open.
+_BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
@@ -59,7 +63,7 @@ _HINT = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
 _TAGS = "p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody caption form fieldset blockquote pre figure figcaption address details summary body html span a label small hr menu dialog search center".split()
 _TAG = {t: k for k, t in enumerate(_TAGS)}
 _N_TAG, _N_HINT = len(_TAGS) + 1, len(HINTS)
-N_FEATURES = 1 + _N_TAG + 2 * _N_HINT + 12
+N_FEATURES = 1 + _N_TAG + 2 * _N_HINT + 13
 
 
 @dataclass
@@ -75,7 +79,10 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """A page's tree, whatever tags are missing or left open; text past an unfinished tag is lost, as in browsers."""
+    """A page's tree, whatever tags are missing or left open.
+
+    A tag with an open quote or without an end, and a comment without one, end at the next angle bracket, so that the text behind them is kept.
+    """
     page = Page()
     parent, tags, hints, hidden, run = page.parent, page.tag, page.hints, page.hidden, page.run
     parent.append(-1)
@@ -85,12 +92,13 @@ def parse(source: str | None) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with the node that its text belongs to
     link = silent = 0
     at, text = 0, source or ""
+    without: set[str] = set()  # ends of comments that don't come any more
     border = (None, "", False)
 
     def say(raw: str) -> None:
         if stack[-1][0] == "head" and _SHOWN.search(raw):  # text ends a head
             pop_to(len(stack) - 1)
-        if raw and not silent:
+        if raw and not silent and (_SHOWN.search(raw) or run and run[-1][0] is not None):  # white space counts within a block only
             run.append((stack[-1][1], entities.unescape(raw) if "&" in raw else raw, link > 0))
 
     def pop_to(depth: int) -> None:
@@ -107,25 +115,31 @@ def parse(source: str | None) -> Page:
         if begin < 0:
             say(text[at:])
             break
-        m = _TOKEN.match(text, begin)
+        say(text[at:begin])
+        if text[begin + 1 : begin + 2] in ("!", "?"):
+            if text.startswith("<!--", begin):
+                closing, opened = "-->", begin + 4
+            elif text.startswith("<![CDATA[", begin):
+                closing, opened = "]]>", begin + 9
+            else:
+                closing, opened = ">", begin
+            stop = -1 if closing in without else text.find(closing, opened)
+            if stop < 0:
+                without.add(closing)
+                closing, stop = ">", text.find(">", begin)
+            at = len(text) if stop < 0 else stop + len(closing)
+            continue
+        m = _TAG_TOKEN.match(text, begin) or _BROKEN_TAG.match(text, begin)
         if not m:
-            nxt = text.find("<", begin + 1)
-            nxt = len(text) if nxt < 0 else nxt
             if text[begin + 1 : begin + 2] == "/" and begin + 2 < len(text):  # a bogus comment
                 stop = text.find(">", begin)
-                say(text[at:begin])
                 at = len(text) if stop < 0 else stop + 1
             else:
-                say(text[at:nxt])
-                at = nxt
+                say("<")
+                at = begin + 1
             continue
-        say(text[at:begin])
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if not m[4]:
-            break
+        name = m[2].lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -246,6 +260,7 @@ def _node_features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     x[:, base + 9] = [bool(t & {"nav", "aside", "footer", "form"}) for t in tagged_above]
     x[:, base + 10] = page.hidden
     x[:, base + 11] = ["header" in t for t in tagged_above]
+    x[:, base + 12] = (own > linked) & np.array([t in ("html", "body") for t in page.tag])
     return parent, x
 
 
@@ -361,19 +376,20 @@ def extract_main_text(df: DataFrame, html: str = "html", model: TreeField | None
 
     A null or empty page gives an empty text.  Character references are decoded, white space inside a block becomes one blank, blocks
     are joined by a newline in page order.  Pages of any length are read whole, in batches of bounded size.  Repeated rows
-    give repeated rows, an empty table an empty one; other columns are kept.
+    give repeated rows, an empty table an empty one; other columns are kept, whatever their names.
     """
     model = model or default_model()
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c.lower() not in (html.lower(), "text")]
     kept = df.select(*[F.col(f"`{c}`") for c in names])
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(html).cast("string").alias("__html"))
+    markup = fresh("markup", names)
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").cast("string").alias(markup))
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_ = shared.value
         for batch in batches:
-            for part, sources in slices(batch, "__html"):
+            for part, sources in slices(batch, markup):
                 texts = extract_texts(sources, field_)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*names, "text"])
 
