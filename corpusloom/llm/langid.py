@@ -1,13 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is one matrix of log-probabilities (buckets x languages), broadcast to the executors.  A batch of texts is one run of
-bytes; the n-gram hashes of all of them are formed at once in numpy, the matrix rows gathered and summed between text borders.
+code points; the n-gram hashes of all of them are formed at once in numpy, the matrix rows gathered and summed between text borders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets of the n-gram hash, and the lengths of n-grams in UTF-8 bytes.
-BUCKETS, GRAMS = 1 << 15, (3, 4)
+#: Buckets of the n-gram hash, and the lengths of n-grams in characters.
+BUCKETS, GRAMS = 1 << 16, (1, 2, 3)
 #: The fit takes about so many documents a language, chosen by a hash of their ids, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
-#: N-grams of evidence that a score is based on at most: the posterior of a long text as if it were this long.
-EVIDENCE = 60
 UNKNOWN = "und"
+_BLANK = 32
 
 
 @dataclass
@@ -31,16 +31,34 @@ class LanguageModel:
     weights: np.ndarray  # BUCKETS x languages, float32 log-probabilities
 
 
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def normal_bytes(text: str) -> bytes:
-    """UTF-8 of a text in lower case with runs of anything but letters as one blank.
+def normal_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in one run, and where each begins and the last ends.
 
-    Bytes above 127 are kept as they are once str.lower() has run, so symbols outside ASCII stay n-gram material.
+    Texts are in lower case, runs of anything but letters are one blank, and each text has a blank at either end.
     """
-    low = text if text.isascii() else text.lower()
-    return b" " + b" ".join(low.encode("utf-8", "replace").translate(_TABLE).split()) + b" "
+    raw = np.frombuffer("\0".join(["", *texts, ""]).lower().encode("utf-32-le", "replace"), dtype="<u4")  # no text ends in the middle of a sign
+    letter = _letters()[raw]
+    border = raw == 0
+    if int(border.sum()) != len(texts) + 1:  # a text holds the sign that parts texts
+        return normal_letters([t.replace("\0", " ") for t in texts])
+    keep = letter | np.concatenate([[True], letter[:-1] | border[:-1]])  # a blank behind a letter or a border, borders, letters
+    keep |= border
+    # a border stands for the blanks around it: one that ends a text, one that begins the next
+    out = np.where(letter, raw, _BLANK).astype(np.uint32)
+    out, edge = out[keep], border[keep]
+    blank = out == _BLANK
+    double = blank & ~edge & (np.concatenate([[False], edge[:-1]]) | np.concatenate([edge[1:], [False]]))  # beside a border
+    out, edge = out[~double], edge[~double]
+    out = np.repeat(out, np.where(edge, 2, 1))  # a blank for each side
+    at = np.flatnonzero(edge)
+    starts = at + np.arange(len(at)) + 1  # behind a border's first blank
+    return out[1:-1], starts - 1
 
 
 def has_letter(text: str | None) -> bool:
@@ -49,28 +67,27 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text[:200])) or any(map(str.isalpha, text[200:]))
 
 
-def hashes(joined: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the n-gram that begins at each byte, for each n-gram length; the last few positions have none."""
-    x = joined.astype(np.uint32)
+def hashes(letters: np.ndarray) -> list[np.ndarray]:
+    """Bucket of the n-gram that begins at each character, for each n-gram length; the last few positions have none."""
+    x = letters.astype(np.uint32)
     out, h = [], x.copy()
-    for n in range(2, max(GRAMS) + 1):
-        h = h[:-1] * np.uint32(0x01000193) ^ x[n - 1 :]
+    for n in range(1, max(GRAMS) + 1):
+        if n > 1:
+            h = h[:-1] * np.uint32(0x01000193) ^ x[n - 1 :]
         if n in GRAMS:
             mixed = (h ^ np.uint32(n * 0x9E37)) * np.uint32(0x9E3779B1)
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)
             out.append((mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32))
     return out
 
 
-def _totals(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the weight rows of each text's n-grams, and their number.  N-grams across a border are left out."""
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    total, number = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), dtype=np.int64)
+def totals(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """Sum of the weight rows of each text's n-grams.  N-grams across a border are left out."""
+    letters, edges = normal_letters(texts)
+    total = np.zeros((len(texts), weights.shape[1]))
     columns = np.ascontiguousarray(weights.T)
-    for n, h in zip(GRAMS, hashes(joined)):
+    for n, h in zip(GRAMS, hashes(letters)):
         last = np.maximum(edges[1:] - n + 1, edges[:-1])
-        borders = np.minimum(np.stack([edges[:-1], last], axis=1).ravel(), len(h))
         full = np.flatnonzero(last > edges[:-1])
         if not len(full):
             continue
@@ -78,8 +95,7 @@ def _totals(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.nda
         pairs = pairs[:-1] if pairs[-1] >= len(h) else pairs
         for lang, column in enumerate(columns):
             total[full, lang] += np.add.reduceat(column[h], pairs, dtype=np.float64)[::2]
-        number += borders[1::2] - borders[::2]
-    return total, number
+    return total
 
 
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
@@ -89,8 +105,7 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     for lang_at, lang in enumerate(languages):
         for text, other in rows:
             if other == lang:
-                raw = np.frombuffer(normal_bytes(text), dtype=np.uint8)
-                for h in hashes(raw):
+                for h in hashes(normal_letters([text])[0]):
                     counts[:, lang_at] += np.bincount(h, minlength=BUCKETS)
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
@@ -117,9 +132,9 @@ def training_rows(df: DataFrame, held_out, key: str = "doc_id", text: str = "tex
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred string`` and ``score double`` (existing columns of these names are replaced).
 
-    A text that is null or has no letter, or a model without languages, gives ``und`` and 0.  Scores are posteriors of at most EVIDENCE
-    n-grams, equal priors; ties go to the language that sorts first.  Whole texts are read, in batches of bounded size.  Only
-    the text is sent through Python with the rest of the row; repeated rows give repeated rows.
+    A text that is null or has no letter, or a model without languages, gives ``und`` and 0.  The score is the posterior of the predicted
+    language with equal priors; ties go to the language that sorts first.  Whole texts are read, in batches of bounded size.  Repeated rows give
+    repeated rows, an empty table an empty one; other columns are kept, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
@@ -133,10 +148,9 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                 at = [k for k, x in enumerate(texts) if m.languages and has_letter(x)]
                 pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
                 if at:
-                    total, number = _totals([normal_bytes(texts[k]) for k in at], m.weights)
-                    scaled = total * (EVIDENCE / np.maximum(number, EVIDENCE))[:, None]
-                    scaled -= scaled.max(axis=1, keepdims=True)
-                    odds = np.exp(scaled)
+                    total = totals([texts[k] for k in at], m.weights)
+                    total -= total.max(axis=1, keepdims=True)
+                    odds = np.exp(total)
                     best = odds.argmax(axis=1)
                     pred[at] = np.array(m.languages, dtype=object)[best]
                     score[at] = odds[np.arange(len(at)), best] / odds.sum(axis=1)
