@@ -35,4 +35,5 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         rest = work.table(moved.where("a != b").distinct())
         work.drop(edges, hook)
         edges = rest
+    work.drop(edges) if label is not None else None
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

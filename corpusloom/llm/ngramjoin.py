@@ -33,6 +33,8 @@ WORDS, SIMILAR = 5, 75
 SKETCH_PER_DOC, SKETCH_BITS, SLICE_BITS = 64, (16, 24), 16
 #: A token counts as frequent when its counter exceeds the mean of all by this much, and by this factor.
 FREQUENT_ABOVE, FREQUENT_TIMES = 48, 3
+#: Sets from which an entry counts as hot, and the parts that its members are dealt into.
+HOT_FROM, HOT_PARTS = 8192, 64
 #: Members of a hub that one task compares with it, and documents and shingles of one block.
 VERIFY_GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 512, 256, 500_000
 #: Bands of distance to a hub that large hubs' blocks are cut by.
@@ -111,46 +113,50 @@ def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def class_size(scheme: int) -> int:
-    """Classes of frequent tokens in a scheme; sets of a scheme have at least (4/3)**(scheme - 1) tokens, twice as many as classes and more."""
-    return max(1, int((4 / 3) ** (scheme - 1) / 8))
+def class_size(scheme: int, similar: int = SIMILAR) -> int:
+    """Classes of frequent tokens in a scheme; sets of a scheme have at least (100/similar)**(scheme - 1) tokens, eight times as many as classes."""
+    return max(1, int((100 / similar) ** (scheme - 1) / 8))
 
 
-def scheme_of(size: int) -> int:
-    """Sizes of linked sets are within 3/4, so their schemes are the same or neighbours; each set is indexed in its own and the next."""
-    return int(np.floor(np.log(size) / np.log(4 / 3) + 1e-9))
+def scheme_of(size: int, similar: int = SIMILAR) -> int:
+    """Sizes of linked sets are within the threshold, so their schemes are the same or neighbours; each set is indexed in its own and the next."""
+    return int(np.floor(np.log(size) / np.log(100 / similar) + 1e-9))
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int, similar: int = SIMILAR) -> np.ndarray:
-    """Index entries of a set: ``tokens`` sorted hashes, ``counts`` their sketch counters.  Sets of one or two have none: they link with equals only."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set, and how many sets at most have each: ``tokens`` are sorted hashes, ``counts`` their sketch counters.
+
+    A set that links with equal sets only, by its size, has no entries.
+    """
     n = len(tokens)
-    if n <= 2:
-        return tokens[:0]
     missing = n - -(-similar * n // 100)
+    if not n or (missing == 0 and 100 * n // similar == n):
+        return tokens[:0], counts[:0]
     order = np.argsort(counts, kind="stable")  # tokens are sorted, so ties stand by hash
     ranked, ranked_counts = tokens[order], counts[order]
     rare = int(np.searchsorted(ranked_counts, frequent_from))
     if rare > missing:
-        return ranked[: missing + 1]
-    found = [ranked[:rare]]
-    own = scheme_of(n)
+        return ranked[: missing + 1], ranked_counts[: missing + 1]
+    found, held_by = [ranked[:rare]], [ranked_counts[:rare]]
+    own = scheme_of(n, similar)
     for scheme in (own, own + 1):
-        classes = class_size(scheme)
-        held: dict[int, list[int]] = {}
+        classes = class_size(scheme, similar)
+        held: dict[int, list[tuple[int, int]]] = {}
         covered = rare
-        for t in ranked[rare:].tolist():
+        for t, c in zip(ranked[rare:].tolist(), ranked_counts[rare:].tolist()):
             members = held.setdefault(t % classes, [])
-            members.append(t)
+            members.append((t, c))
             covered += len(members) > 1
             if covered > missing:
                 break
-        pairs = [(x, y) for m in held.values() for k, x in enumerate(m) for y in m[:k]]
+        pairs = [(x, y, c) for m in held.values() for k, (x, _) in enumerate(m) for y, c in m[:k]]  # m rises in its counters
         if pairs:
-            p = np.array(pairs, dtype=np.uint64)
+            p = np.array([q[:2] for q in pairs], dtype=np.uint64)
             lo, hi = p.min(axis=1), p.max(axis=1)
             with np.errstate(over="ignore"):
                 found.append(_mixed(_mixed(lo * np.uint64(_MIX2) + np.uint64(scheme + 1)) + hi * np.uint64(_MIX1)))
-    return np.concatenate(found)
+            held_by.append(np.array([q[2] for q in pairs], dtype=counts.dtype))
+    return np.concatenate(found), np.concatenate(held_by)
 
 
 def _byte_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -227,45 +233,59 @@ def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, bits: int, similar: int) -> DataFrame:
-    """(entry, member, first member) of every index entry that has more than one member."""
+    """(entry, salt, member, first member) of every index entry that has more than one member.
+
+    What the sketch bounds an entry's members by tells hot entries beforehand: their members are dealt over HOT_PARTS tasks by a salt, each
+    part with a first member of its own, and members that stand alone in a part are kept.  ``heads_of`` joins the parts.
+    """
     mean = float(sketch.mean(dtype=np.float64))
     frequent_from = int(min(65_535, max(mean + FREQUENT_ABOVE, FREQUENT_TIMES * mean)))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    hot_from = max(HOT_FROM, 4 * mean)  # counters that collisions fill tell nothing
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
         for batch in batches:
             for part, texts in _byte_slices(batch, "t"):
                 found = [signatures(s, counters[(s >> np.uint64(64 - bits)).astype(np.int64)], frequent_from, similar) for s in shingle_sets(texts)]
-                sizes = np.array([len(f) for f in found])
-                ids = np.repeat(part["k"].to_numpy(zero_copy_only=False), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64())], ["sig", "k"])
+                sizes = np.array([len(f[0]) for f in found])
+                keys = part["k"].to_numpy(zero_copy_only=False).astype(np.int64)
+                salts = (1 + (_mixed(keys.view(np.uint64)) % np.uint64(HOT_PARTS))).astype(np.int32)
+                hot = np.concatenate([f[1] for f in found]) >= hot_from
+                salt = np.where(hot, np.repeat(salts, sizes), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(salt), pa.array(np.repeat(keys, sizes))], ["sig", "salt", "k"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, last_k, first, several = None, None, None, False  # of the entry that the previous batch ended in
+        last, last_k, first, several = None, None, None, False  # of the entry that the previous batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, k = batch["sig"].to_numpy(zero_copy_only=False), batch["k"].to_numpy(zero_copy_only=False)
-            new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
+            sig, salt, k = (batch[c].to_numpy(zero_copy_only=False) for c in ("sig", "salt", "k"))
+            new = np.concatenate([[last != (sig[0], salt[0])], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])])
             starts = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             firsts = k[starts]
             if not new[0]:
                 group, firsts = group + 1, np.concatenate([[first], firsts])
             same = np.bincount(group, minlength=len(firsts))
-            follows = ~new
-            take = follows | (same[group] > 1)
-            rows = np.flatnonzero(take)
-            s, m, f = sig[rows], k[rows], firsts[group[rows]]
+            rows = np.flatnonzero(~new | (same[group] > 1) | (salt > 0))
+            s, t, m, f = sig[rows], salt[rows], k[rows], firsts[group[rows]]
             if not new[0] and not several:  # the entry's first member stood alone at the last batch's end
-                s, m, f = np.concatenate([[last_sig], s]), np.concatenate([[last_k], m]), np.concatenate([[first], f])
-            last_sig, last_k, first, several = sig[-1], k[-1], firsts[-1], bool(same[-1] > 1 or (len(firsts) == 1 and not new[0]))
+                s, t, m, f = (np.concatenate([[x], y]) for x, y in ((last[0], s), (last[1], t), (last_k, m), (first, f)))
+            last, last_k, first = (sig[-1], salt[-1]), k[-1], firsts[-1]
+            several = bool(salt[-1] > 0 or same[-1] > 1 or (len(firsts) == 1 and not new[0]))
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(m), pa.array(f)], ["sig", "k", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(t, pa.int32()), pa.array(m), pa.array(f)], ["sig", "salt", "k", "head"])
 
-    entries = docs.mapInArrow(index, "sig long, k long").repartition("sig").sortWithinPartitions("sig", "k")
-    return entries.mapInArrow(gather, "sig long, k long, head long")
+    entries = docs.mapInArrow(index, "sig long, salt int, k long").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "k")
+    return entries.mapInArrow(gather, "sig long, salt int, k long, head long")
+
+
+def heads_of(postings: DataFrame) -> DataFrame:
+    """(member, hub) of every entry: the least of the first members of an entry's parts is the hub of them all."""
+    hot = postings.where("salt > 0")
+    top = hot.groupBy("sig").agg(F.min("head").alias("top")).select(F.col("sig").alias("of"), "top")
+    return postings.where("salt = 0").select("k", "head").unionByName(hot.join(top, F.col("sig") == F.col("of")).select("k", F.col("top").alias("head")))
 
 
 def _linked(common: int, a: int, b: int, similar: int) -> bool:
@@ -391,13 +411,15 @@ def across(docs: DataFrame, members: DataFrame, similar: int = SIMILAR) -> DataF
 
 
 def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` of every row of ``df``: the smallest key that links lead to, its own included.
+    """Key, ``n_shingles``, ``component_id`` of every row of ``df``: the smallest key that links lead to, its own included.
 
-    Two documents link when 100 * intersection >= ``similar`` * union of their sets of 5-word shingles.  Null and empty texts, and texts
-    of white space, have no shingles and no links.  Equal sets are one class, of which only the smallest key is compared.  Rows
-    that share a key are one document with all their links.  A null key takes no part: its component is null.  An empty table
-    gives no rows; other columns are ignored.  Keys are whole numbers.
+    Two documents link when 100 * intersection >= ``similar`` * union of their sets of 5-word shingles; ``similar`` is a whole number from 20 to 100.
+    Null and empty texts, and texts of white space, have no shingles and no links; texts of any length are read whole.  Equal sets are one
+    class, of which only the smallest key is compared.  Rows that share a key are one document with all their links.  A null key takes no
+    part: its component is null.  An empty table gives no rows; other columns are ignored, whatever their names.  Keys are whole numbers.
     """
+    if not 20 <= similar <= 100 or similar != int(similar):
+        raise ValueError("similar is a whole number from 20 to 100")
     spark = df.sparkSession
     work = Workspace(spark, "ngramjoin")
     raw = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
@@ -408,20 +430,21 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     sketch = _sketch(described.where(F.col("slice").isNotNull()), bits)
 
     with_key = raw.where(F.col("k").isNotNull() & (F.length("t") > 0))
-    postings = work.table(_postings(with_key, sketch, bits, similar))
     filled = info.where(F.col("k").isNotNull() & (F.col("n") > 0))
     classes = work.table(filled.groupBy("f").agg(F.min("k").alias("c"), F.first("n").alias("n")))  # a table, so that the join below can split a hot class
     members = work.table(filled.select("k", "f").join(classes, "f").select("k", "c", "n").distinct())
 
     rep = lambda k, c: members.select(F.col("k").alias(k), F.col("c").alias(c))
-    star = postings.where("k != head").select("k", "head").distinct()
+    postings = work.table(_postings(with_key, sketch, bits, similar))
+    star = heads_of(postings).where("k != head").distinct()
     star = star.join(rep("k1", "a"), F.col("k") == F.col("k1")).join(rep("k2", "b"), F.col("head") == F.col("k2"))
     star = work.table(star.where("a != b").select("a", "b").distinct())
     work.drop(postings)
     near = work.table(measured(with_key, star, similar))
-    same_key = members.groupBy("k").agg(F.min("c").alias("b"), F.collect_set("c").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
+    several = members.groupBy("k").agg(F.min("c").alias("b"), F.count("*").alias("m")).where("m > 1").select(F.col("k").alias("k1"), "b")
+    same_key = members.join(several, F.col("k") == F.col("k1")).select(F.col("c").alias("a"), "b")
     links = work.table(near.where("linked").select("a", "b").unionByName(members.select(F.col("k").alias("a"), F.col("c").alias("b"))).unionByName(same_key).where("a != b"))
-    early = work.table(components(links, work))
+    early = components(links, work)
 
     part = lambda node, name: early.select(F.col("node").alias(node), F.col("component").alias(name))
     size = members.where("k = c").groupBy("c").agg(F.max("n").alias("n"))
@@ -430,10 +453,10 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     around = around.join(part("n1", "p1"), F.col("x") == F.col("n1"), "left").join(part("n2", "p2"), F.col("h") == F.col("n2"), "left").join(size, F.col("x") == F.col("c"))
     around = work.table(around.select("h", "x", "distance", F.coalesce("p1", "x").alias("p"), F.coalesce("p2", "h").alias("hp"), "n"))
     more = work.table(across(with_key, around, similar))
+    labels = early
     if more.limit(1).count():
-        labels = work.table(components(links.unionByName(more).unionByName(early.select(F.col("node").alias("a"), F.col("component").alias("b"))), work))
-    else:
-        labels = early
-    out = info.join(labels, F.col("k") == F.col("node"), "left").select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "k")).alias("component_id"))
-    work.drop(classes, star, near, links, around, more, members)
-    return out.withColumnRenamed("doc_id", key)
+        labels = components(links.unionByName(more).unionByName(early.select(F.col("node").alias("a"), F.col("component").alias("b"))), work)
+    out = info.join(labels, F.col("k") == F.col("node"), "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "k")).alias("component_id"))
+    made = work.table(out)
+    work.drop(described, classes, star, near, links, around, more, members, early, labels)
+    return made
