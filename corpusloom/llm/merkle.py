@@ -26,7 +26,7 @@ _WORD, _SIGN = rf"{_OF_WORDS}{{1,64}}+(?!{_OF_WORDS})\s*+", r"\S\s*+"
 #: Units of a paragraph: words, and at each single sign the eight that begin there; white space at its head is a unit.
 UNIT = rf"(?=({_WORD}|(?:{_SIGN}){{1,8}}+|\s++))(?:{_WORD}|{_SIGN}|\s++)"
 #: Rows of a bucket of neighbours, about, and buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 10_000
+BUCKET_ROWS, MOST_BUCKETS = 256, 20_000
 
 
 def _let(value: Column, use) -> Column:
@@ -148,7 +148,7 @@ def bucket_of(df: DataFrame, key: str, tie: str, rows: int | None = None, most:
     n = df.where(F.col(key).isNotNull()).count()
     buckets = max(1, min(most, -(-n // rows)))
     marks = F.split(F.lit(",".join(str(k / buckets) for k in range(1, buckets))), ",").cast("array<double>")
-    found = df.agg(F.percentile_approx(key, marks, 20 * buckets).alias("q")).first()["q"] if buckets > 1 else []
+    found = df.agg(F.percentile_approx(key, marks, 10 * buckets).alias("q")).first()["q"] if buckets > 1 else []
     borders: dict[int, int] = {}
     for q in found or []:
         borders[q] = borders.get(q, 0) + 1
