@@ -137,7 +137,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int, simil
     rare = int(np.searchsorted(ranked_counts, frequent_from))
     if rare > missing:
         return ranked[: missing + 1], ranked_counts[: missing + 1]
-    found, held_by = [ranked[:rare]], [ranked_counts[:rare]]
+    alone = n if n - missing == 1 else rare  # so small a set may link by one token, whatever its class
+    found, held_by = [ranked[:alone]], [ranked_counts[:alone]]
     own = scheme_of(n, similar)
     for scheme in (own, own + 1):
         classes = class_size(scheme, similar)
