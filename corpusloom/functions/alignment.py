@@ -14,7 +14,12 @@ from corpusloom.functions.similarity import indel_ratio, linked_types, same_form
 from corpusloom.functions.text import TOKEN
 
 # Words that carry no content.
-STOPWORDS = frozenset("a à ao aos as o os um uma de da das do dos em no na nos nas e ou que se por para com como mais mas não sim já sua seu suas seus eu tu ele ela nós vós eles elas me te lhe vos lhes isso isto aquilo".split())
+STOPWORDS = frozenset([
+    "a", "à", "ao", "aos", "as", "o", "os", "um", "uma", "de", "da", "das", "do", "dos", "em", "no",
+    "na", "nos", "nas", "e", "ou", "que", "se", "por", "para", "com", "como", "mais", "mas", "não", "sim", "já",
+    "sua", "seu", "suas", "seus", "eu", "tu", "ele", "ela", "nós", "vós", "eles", "elas", "me", "te", "lhe", "vos",
+    "lhes", "isso", "isto", "aquilo",
+])
 Links = Callable[[list[str], list[str]], list[tuple[int, int]]]
 _TOKEN = re.compile(TOKEN)
 REALS = ("br_cov", "pt_cov", "cov_min", "cov_gap", "br_int_content_ratio", "pt_int_content_ratio", "br_spill", "pt_spill", "base_sim")

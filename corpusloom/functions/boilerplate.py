@@ -103,12 +103,11 @@ def classify(found: list[dict]) -> list[bool]:
     return [x == "good" or x == "neargood" and "good" in (nearest(k, -1, ("neargood",)), nearest(k, 1, ("neargood",))) for k, x in enumerate(kind)]
 
 
-def content(source: str | None) -> str:
-    """Good paragraphs, a line each; the plain text if there is none, little, or less than a fifth of it."""
+def content(source: str | None, least_chars: int = 30, least_share: float = 0.2) -> str:
+    """Good paragraphs, a line each; nothing if there is none, or if they are less than ``least_chars`` or than ``least_share`` of the whole source."""
     found = paragraphs(source or "")
-    good = [p["text"] for p, ok in zip(found, classify(found)) if ok]
-    plain, kept = "\n".join(p["text"] for p in found), "\n".join(good)
-    return kept if len(kept) >= 30 and len(kept) >= 0.2 * len(plain) else plain
+    kept = "\n".join(p["text"] for p, ok in zip(found, classify(found)) if ok).strip()
+    return kept if len(kept) >= least_chars and len(kept) >= least_share * len(source or "") else ""
 
 
 def plain_text(source: str | None) -> str:

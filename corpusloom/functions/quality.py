@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of the filter.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-BAD_STARTS = ("List of recent changes", "Sort by", "Home |", "> Home", "useful tips", "Licenses:", "Search in: ", "Terms of Use - ", "Home page", "Home Page", "Copyright", "Results/Page", *"!#$%&*+,-./:;<=>?@[\\]^_`{|}~")
+BAD_STARTS = (
+    "List of recent changes", "Sort by", "Home |", "> Home", "useful tips", "Licenses:", "Search in: ", "Terms of Use - ", "Home page", "Home Page", "Copyright", "Results/Page",
+    "!", "#", "$", "%", "&", "*", "+", ",", "-", ".", "/", ":", ";", "<", "=", ">", "?", "@", "[", "\\", "]", "^", "_", "`", "{", "|", "}", "~",
+)
 BAD_MIDDLES = (" @ ", " / ", " | ", "[...]", "(...)")
 BAD_END = " ("
 VALID_SIGNS = "0123456789abcdefghijklmnopqrstuvwxyzàáâãåāèéêëěėēîïíìįīĵłñńôöòóōõšśûüùúūÿýźçćčñń!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”ºª€ \t\n\r\x0b\x0c"

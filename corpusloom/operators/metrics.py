@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,22 +28,86 @@ def macro_f1(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame
     return c.agg(F.count("*").alias("labels"), F.round(F.avg(_share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))), 6).alias("macro_f1"))
 
 
-def corpus_bleu(df: DataFrame, most: int = 4) -> DataFrame:
-    """BLEU over (id, hyp, ref), words split at blanks: clipped n-gram counts, brevity penalty, no smoothing."""
-    words = df.select("id", F.split("hyp", " ").alias("hyp"), F.split("ref", " ").alias("ref"))
-
-    def grams(side: str, n: int):
-        runs = F.when(F.size(side) >= n, F.transform(F.sequence(F.lit(1), F.size(side) - n + 1), lambda k: F.array_join(F.slice(F.col(side), k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-        return words.select("id", F.lit(n).alias("n"), F.explode(runs).alias("gram"), F.lit(int(side == "hyp")).alias("h"))
-
-    every = None
-    for n in range(1, most + 1):
-        for side in ("hyp", "ref"):
-            g = grams(side, n)
-            every = g if every is None else every.unionByName(g)
-    counts = every.groupBy("id", "n", "gram").agg(F.sum("h").alias("a"), F.sum(1 - F.col("h")).alias("b"))
-    by_n = counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("total"))
-    mean = by_n.agg(F.avg(F.log(F.col("matched") / F.col("total"))).alias("mean"))
-    sizes = words.agg(F.sum(F.size("hyp")).cast("long").alias("hyp_words"), F.sum(F.size("ref")).cast("long").alias("ref_words"))
-    brevity = F.when(F.col("hyp_words") >= F.col("ref_words"), 1.0).otherwise(F.exp(1 - F.col("ref_words") / F.col("hyp_words")))
-    return sizes.crossJoin(mean).select("hyp_words", "ref_words", F.round(100 * brevity * F.exp("mean"), 4).alias("bleu"))
+# Fixed values of the published tokenisation for BLEU ("13a"): what is replaced, in this order.
+BLEU_TOKENS = (
+    (r"<skipped>", ""),
+    (r"-\n", ""),
+    (r"\n", " "),
+    (r"&quot;", '"'),
+    (r"&amp;", "&"),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([^0-9])([\.,])", r"$1 $2 "),
+    (r"([\.,])([^0-9])", r" $1 $2"),
+    (r"([0-9])(-)", r"$1 $2 "),
+)
+
+
+def bleu_tokens(text: Column) -> Column:
+    """Words by the published rules; an empty text has none."""
+    x = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    for pattern, by in BLEU_TOKENS:
+        x = F.regexp_replace(x, pattern, by)
+    return F.filter(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "), lambda w: w != "")
+
+
+def ngram_matches(words: DataFrame, most: int = 4) -> DataFrame:
+    """Of (id, hyp, ref) token arrays: id, n, ``matched`` (clipped by the reference's counts) and ``total`` n-grams of each length."""
+
+    def grams(side: str, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(side) - n + 1), lambda k: F.array_join(F.slice(F.col(side), k, F.lit(n)), "\x1f"))
+        return F.transform(F.when(F.size(side) >= n, runs).otherwise(F.array().cast("array<string>")), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(side).alias("side")))
+
+    every = words.select("id", F.explode(F.concat(*[grams(side, n) for n in range(1, most + 1) for side in ("hyp", "ref")])).alias("g")).select("id", "g.*")
+    counts = every.groupBy("id", "n", "gram").agg(F.count_if(F.col("side") == "hyp").alias("a"), F.count_if(F.col("side") == "ref").alias("b"))
+    return counts.groupBy("id", "n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("total")).where("total > 0")
+
+
+def _score(matched: Column, total: Column, hyp: Column, ref: Column, orders: Column, smoothed: bool) -> Column:
+    """From arrays of matched and all n-grams by length: 0 if nothing matches, or an order doesn't and isn't smoothed, or is missing from ``orders``.
+
+    Smoothed, the k-th order without a match counts as 1 / 2**k matches of one n-gram.
+    """
+    pairs = F.arrays_zip(matched.alias("m"), total.alias("t"))
+    missing = lambda k: F.size(F.filter(F.slice(matched, 1, k + 1), lambda m: m == 0))
+    logs = F.transform(pairs, lambda p, k: F.log(F.when(p["m"] > 0, p["m"] / p["t"]).otherwise(1 / (F.pow(F.lit(2.0), missing(k)) * p["t"]))))
+    none = F.exists(matched, lambda m: m > 0)
+    good = F.coalesce(none, F.lit(False)) & (F.size(matched) >= orders)
+    if not smoothed:
+        good = good & ~F.exists(matched, lambda m: m == 0)
+    brevity = F.when(hyp >= ref, 1.0).otherwise(F.exp(1 - ref / hyp))
+    return F.when(good, F.round(100 * brevity * F.exp(F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size(logs)), 4)).otherwise(0.0)
+
+
+def _in_order(matches: DataFrame, *by: str) -> DataFrame:
+    listed = matches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "matched", "total"))).alias("x"))  # one item for each length
+    return listed.select(*by, F.col("x.matched").alias("matched"), F.col("x.total").alias("total"))
+
+
+def corpus_bleu(df: DataFrame, most: int = 4, tokenise: bool = False) -> DataFrame:
+    """BLEU over all (id, hyp, ref): words split at blanks or by the published rules, clipped n-gram counts, brevity penalty.
+
+    ``bleu`` is not smoothed: 0 where an order has no match.  ``bleu_smoothed`` is what the published tool gives by default.  0 for an empty table.
+    """
+    split = bleu_tokens if tokenise else lambda c: F.split(c, " ")
+    words = df.select("id", split(F.col("hyp")).alias("hyp"), split(F.col("ref")).alias("ref"))
+    by_n = ngram_matches(words, most).groupBy("n").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
+    counts = _in_order(by_n.withColumn("one", F.lit(1)), "one")
+    sizes = words.agg(F.coalesce(F.sum(F.size("hyp")), F.lit(0)).cast("long").alias("hyp_words"), F.coalesce(F.sum(F.size("ref")), F.lit(0)).cast("long").alias("ref_words")).withColumn("one", F.lit(1))
+    x = sizes.join(counts, "one", "left")
+    score = lambda smoothed: F.coalesce(_score(F.col("matched"), F.col("total"), F.col("hyp_words"), F.col("ref_words"), F.lit(most), smoothed), F.lit(0.0))
+    return x.select("hyp_words", "ref_words", score(False).alias("bleu"), score(True).alias("bleu_smoothed"))
+
+
+def sentence_bleu(df: DataFrame, most: int = 4) -> DataFrame:
+    """``id``, ``sentence_bleu`` of each (id, hyp, ref) by the published rules: smoothed, over the n-gram lengths that the hypothesis has; 0 without a match."""
+    words = df.select("id", bleu_tokens(F.col("hyp")).alias("hyp"), bleu_tokens(F.col("ref")).alias("ref"))
+    counts = _in_order(ngram_matches(words, most), "id")
+    x = words.select("id", F.size("hyp").alias("h"), F.size("ref").alias("r")).join(counts, "id", "left")
+    return x.select("id", F.coalesce(_score(F.col("matched"), F.col("total"), F.col("h"), F.col("r"), F.lit(1), True), F.lit(0.0)).alias("sentence_bleu"))
+
+
+def worst_by_bleu(df: DataFrame, k: int = 20) -> DataFrame:
+    """The k rows with the least sentence BLEU, ties by id."""
+    return sentence_bleu(df).orderBy("sentence_bleu", "id").limit(k)

@@ -25,7 +25,7 @@ def values(spark, fn, texts):
         (T.capitalize_first_letter, ["¿élan", "12 a", ""], ["¿Élan", "12 A", ""]),
         (T.has_inner_hard_stop, ["A. B.", "A b."], [True, False]),
         (T.last_sign, ['fim." ', "x", ""], [".", "x", ""]),
-        (T.sentences, ["O Dr. Sá foi. E tu? Sim", None], [["O Dr. Sá foi.", "E tu?", "Sim"], []]),
+        (T.sentences, ["O Dr. Sá foi. E tu? Sim", None, "Lei § 5 vale. N.º. 3"], [["O Dr. Sá foi.", "E tu?", "Sim"], [], ["Lei § 5 vale.", "N.º. 3"]]),
         (T.tokens, ["Guarda-chuva d'água 12!", None], [["Guarda-chuva", "d'água", "12"], []]),
         (T.match_key, ["Ação, NÃO!", ""], ["acao nao", ""]),
         (T.srt_time, ["3723004"], ["01:02:03,004"]),
@@ -82,7 +82,8 @@ def test_boilerplate():
     text = "o livro que a menina leu em casa e na escola de que se fala com os amigos da rua " * 3
     page = f"<html><head><title>x</title></head><body><div><a href=a>home</a> <a href=b>news</a></div><h1>título</h1><p>{text}</p><p>© 2020 loja</p></body></html>"
     assert B.content(page) == "título\n" + text.strip()
-    assert B.content(None) == "" and B.content("<p>curto</p>") == "curto"
+    assert B.content(None) == "" and B.content("<p>curto</p>") == "" and B.content("<p>" + "xyz " * 40 + "</p>") == ""
+    assert B.content(page + "<!--" + "x" * 6 * len(page) + "-->") == ""
     assert B.plain_text("a<script>x</script>&amp;<b>c</b>") == "a & c"
 
 

@@ -26,6 +26,37 @@ def test_normal_line():
         assert S.normal_line(S.normal_line(s)) == S.normal_line(s)
 
 
+def test_clauses():
+    assert S.split_tail("vamos embora,agora") == ("vamos embora", "agora") and S.split_head("vamos embora,agora") == ("vamos embora,", "agora")
+    assert S.split_tail("um - dois") == ("um", "dois") and S.split_head("um - dois - três") == ("um -", "dois - três")
+    assert S.split_tail("a, " + "b" * 61) == ("a, " + "b" * 61, "") and S.split_head("a" * 60 + ", b") == ("", "a" * 60 + ", b") and S.split_head("a" * 59 + ", b") == ("a" * 59 + ",", "b")
+    assert S.split_tail("Um. Dois. Três") == ("Um. Dois.", "Três") and S.split_head("Um. Dois. Três") == ("Um.", "Dois. Três")
+    assert S.split_tail(None) == ("", "") and S.split_head("só") == ("", "só") and S.split_tail("fim,") == ("fim,", "")
+
+
+def test_sentences_keep_every_sign():
+    assert S.sentences("Lei § 5 vale. O Sr. Sá veio… Sim? p.ex. hoje.") == ["Lei § 5 vale.", "O Sr. Sá veio…", "Sim?", "p.ex. hoje."]
+    assert S.sentences(None) == [] and S.sentences(" . ") == ["."] and S.sentences("DR. X. y") == ["DR. X.", "y"]
+    assert S.sentence_case("OLÁ! 3 VEZES.") == "Olá! 3 Vezes." and S.sentence_case("Já ESTÁ") == "Já ESTÁ" and S.sentence_case("12") == "12"
+
+
+def test_blocks_with_seams_equal_one_block(spark):
+    rng = random.Random(9)
+    words = "casa gato rio sol mar pão".split()
+    said = lambda: " ".join(rng.choices(words, k=rng.randrange(2, 7))).capitalize() + "."
+    rows = [(k % 2, k, f"{said()} {said()}", said()) for k in range(40)]
+    once = lambda part: [(a, b, x.upper(), y) for a, b, x, y in part]
+    assert list(S.in_blocks(iter(rows), once, 7, 3)) == once(rows) and list(S.in_blocks(iter(()), once, 7, 3)) == []
+    move = lambda part: [(a, b, *m) for (a, b, _, _), m in zip(part, S.move_clauses([r[2:] for r in part]))]
+    df = spark.createDataFrame(rows, "pair_id long, line_no long, br string, pt string")
+    got = {r.line_no: (r.br, r.pt) for r in S.over_blocks(df, "pair_id", "line_no", move, "pair_id long, line_no long, br string, pt string").collect()}
+    want = {b: (x, y) for k in (0, 1) for _, b, x, y in move([r for r in rows if r[0] == k])}
+    assert got == want
+    log = []
+    S.move_clauses([("Bom dia a todos. Vamos para casa agora.", "Bom dia a todos."), ("Está frio.", "Vamos para casa agora. Está frio.")], log=log)
+    assert [(x[0], x[1], x[2], x[3]) for x in log] == [(0, 1, "head_from_next", "Vamos para casa agora.")] and log[0][4] > 0.04
+
+
 def test_move_clauses_moves_a_sentence_over():
     rows = [("Bom dia a todos. Vamos para casa agora.", "Bom dia a todos."), ("Está frio.", "Vamos para casa agora. Está frio.")]
     assert S.move_clauses(rows) == [("Bom dia a todos. Vamos para casa agora.", "Bom dia a todos. Vamos para casa agora."), ("Está frio.", "Está frio.")]
@@ -130,9 +161,48 @@ def test_labels_and_messages(spark):
     assert [m.role for m in chat.messages] == ["system", "user", "assistant"]
 
 
-def test_bleu_of_equal_texts(spark):
-    df = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id long, hyp string, ref string")
-    assert M.corpus_bleu(df).first().bleu == 100
+def plain_bleu(pairs, orders, smooth):
+    """BLEU of (hyp, ref) token lists, counted one by one."""
+    from collections import Counter
+    from math import exp, log
+
+    matched, total = [0] * 4, [0] * 4
+    for hyp, ref in pairs:
+        for n in range(1, 5):
+            a, b = (Counter(tuple(x[k : k + n]) for k in range(len(x) - n + 1)) for x in (hyp, ref))
+            matched[n - 1] += (a & b).total()
+            total[n - 1] += a.total()
+    used = [n for n in range(4) if total[n]]
+    if not any(matched) or len(used) < orders or (not smooth and any(not matched[n] for n in used)):
+        return 0.0
+    logs, zeros = [], 0
+    for n in used:
+        zeros += not matched[n]
+        logs.append(log(matched[n] / total[n] if matched[n] else 1 / (2**zeros * total[n])))
+    h, r = (sum(map(len, x)) for x in zip(*pairs))
+    return round(100 * (1 if h >= r else exp(1 - r / h)) * exp(sum(logs) / len(logs)), 4)
+
+
+def test_bleu(spark):
+    schema = "id long, hyp string, ref string"
+    assert M.corpus_bleu(spark.createDataFrame([(1, "a b c d e", "a b c d e")], schema)).first().bleu == 100
+    no_fours = M.corpus_bleu(spark.createDataFrame([(1, "a b c d e", "a b c x y")], schema)).first()
+    assert no_fours.bleu == 0 and no_fours.bleu_smoothed == plain_bleu([("a b c d e".split(), "a b c x y".split())], 4, True) > 0
+    rng = random.Random(8)
+    texts = [(k, " ".join(rng.choices("abcd", k=rng.randrange(9))), " ".join(rng.choices("abcd", k=rng.randrange(1, 9)))) for k in range(60)]
+    split = [(h.split(), r.split()) for _, h, r in texts]
+    df = spark.createDataFrame(texts, schema)
+    got = M.corpus_bleu(df, tokenise=True).first()
+    assert (got.bleu, got.bleu_smoothed) == (plain_bleu(split, 4, False), plain_bleu(split, 4, True))
+    each = {k: plain_bleu([p], 1, True) for k, p in enumerate(split)}
+    assert {r.id: r.sentence_bleu for r in M.sentence_bleu(df).collect()} == pytest.approx(each)
+    assert [r.id for r in M.worst_by_bleu(df, 7).collect()] == sorted(each, key=lambda k: (each[k], k))[:7]
+    assert tuple(M.corpus_bleu(df.where("false")).first()) == (0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("text, tokens", [("Hello, world.", "Hello , world ."), ("3,5 and 4.", "3,5 and 4 ."), ("10-year (old)", "10 - year ( old )"), ("a &amp; b&lt;c", "a & b < c"), ("it's “so”", "it's “so”"), ("", ""), ("x-\ny", "xy")])
+def test_bleu_tokens(spark, text, tokens):
+    assert spark.createDataFrame([(text,)], "t string").select(M.bleu_tokens(F.col("t"))).first()[0] == tokens.split()
 
 
 def test_sentence_moves():
