@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.relational import hash_bucket
+from corpusloom.operators.relational import hash_bucket, running_place
 
 # Fixed values of the example formats.
 DIRECTIONS = {"br-pt": "<BR2PT>", "pt-br": "<PT2BR>"}
@@ -172,17 +174,20 @@ def multitask(examples: DataFrame) -> DataFrame:
     return examples.select("source_id", F.regexp_replace("input_text", r"^<[^>]*>\s*", "").alias("encoder_text"), F.concat_ws(" ", token, "target_text").alias("decoder_text"), token.isNotNull().alias("valid"))
 
 
-def parallel_lines(df: DataFrame, key: str, a: str, b: str, ranges: int = 256) -> DataFrame:
-    """``idx`` (0-based place in order of key) and a line of each side; key ranges are counted first, so no task numbers the whole table."""
-    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    cell = F.floor((F.col(key) - F.lit(low)) / F.lit((high - low) // ranges + 1)).cast("int")
-    sizes = df.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.lit(1).alias("one"))
-    before = Window.partitionBy("one").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = df.withColumn("cell", cell).join(F.broadcast(starts), "cell")
-    place = F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy(key)) - 1
-    return numbered.select(place.cast("long").alias("idx"), F.col(key), T.one_line(F.col(a)).alias(f"{a}_line"), T.one_line(F.col(b)).alias(f"{b}_line"))
+def parallel_lines(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``idx`` (0-based place in order of key) and a line of each side."""
+    placed = running_place(df, key, "idx")
+    return placed.select("idx", F.col(key), T.one_line(F.col(a)).alias(f"{a}_line"), T.one_line(F.col(b)).alias(f"{b}_line"))
+
+
+def prompt(template: str, **parts: Column) -> Column:
+    """A template whose ``{name}`` places are filled with columns; other signs, braces that name nothing among them, stay as they are."""
+    pieces, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m[1] in parts:
+            pieces += [F.lit(template[at : m.start()]), parts[m[1]]]
+            at = m.end()
+    return F.concat(*pieces, F.lit(template[at:]))
 
 
 def _example(test: Column, task: str, source: Column, target: Column, kind: str | None = None) -> Column:

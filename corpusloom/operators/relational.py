@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,35 @@ def without_guarded(df: DataFrame, guard: DataFrame, pairs: Sequence[tuple[Colum
     return df.join(guard, test, "left_anti")
 
 
+def contained_texts(df: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``needles`` beside the ``key`` of every row of ``df`` whose text contains the needle, exactly as it stands; needles aren't empty, keys are unique.
+
+    Texts and needles meet by equal keys: of a needle with three words or more the hash of up to three words behind its first one, which a text
+    that contains it has whole; of others the hash of their first three characters, or of all if they have fewer.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    held = needles.withColumn("__w", words(F.col(needle)))
+    inner = F.least(F.size("__w") - 2, F.lit(3))
+    signs = F.least(F.length(needle), F.lit(3))
+    kind = F.when(inner > 0, F.concat(F.lit("w"), inner.cast("string"))).otherwise(F.concat(F.lit("c"), signs.cast("string")))
+    of = F.when(inner > 0, F.array_join(F.slice("__w", F.lit(2), F.greatest(inner, F.lit(1))), " ")).otherwise(F.substring(needle, 1, 3))
+    held = held.withColumn("__kind", kind).withColumn("__key", F.xxhash64("__kind", of)).drop("__w", "__kind")
+    kinds = [r[0] for r in needles.withColumn("__w", words(F.col(needle))).select(kind.alias("k")).distinct().collect()]  # six at most
+
+    def runs(kind: str) -> Column:
+        n = int(kind[1])
+        if kind[0] == "w":
+            w = words(F.col(text))
+            return F.transform(F.array(w), lambda u: F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1), lambda k: F.xxhash64(F.lit(kind), F.array_join(F.slice(u, k, n), " ")))).otherwise(F.array().cast("array<bigint>")))[0]
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.xxhash64(F.lit(kind), F.substr(F.col(text), k, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    if not kinds:
+        return needles.join(df.select(key), F.lit(False))
+    keys = df.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(F.concat(*map(runs, kinds)))).alias("__key"))
+    met = keys.join(held, "__key").drop("__key").distinct()
+    return met.join(df.select(key, text), key).where(F.contains(text, needle)).drop(text)
+
+
 def hash_bucket(parts: Sequence[Column], buckets: int) -> Column:
     """A stable bucket from the first 32 bits of the MD5 of the parts, joined by a unit separator."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
@@ -105,6 +135,75 @@ def canonical_columns(df: DataFrame, columns: Sequence[str], **constants) -> Dat
     return df.select(*[pick(c).cast("string").alias(c) for c in columns])
 
 
+def counted_cells(df: DataFrame, key: str, rows: int = 100_000, most: int = 10_000) -> Column:
+    """A cell for every row, rising with a numeric key, of about ``rows`` rows each: borders are quantiles of the keys, so far keys make no difference."""
+    cells = max(1, min(most, -(-df.count() // rows)))
+    marks = F.split(F.lit(",".join(str(k / cells) for k in range(1, cells))), ",").cast("array<double>")
+    found = df.agg(F.percentile_approx(key, marks, 10 * cells).alias("q")).first()["q"] if cells > 1 else None
+    borders = F.split(F.lit(",".join(str(q) for q in sorted(set(found or [])))), ",")
+    kind = df.schema[key].dataType.simpleString()
+    return F.size(F.filter(borders.cast(f"array<{kind}>"), lambda b: b < F.col(key))).cast("int") if found else F.lit(0)
+
+
+def running_place(df: DataFrame, key: str, name: str, **sizes: int) -> DataFrame:
+    """``df`` with ``name``, each row's place (from 0) in order of a numeric key: cells are counted first, so that no task numbers the whole table."""
+    celled = df.withColumn("__cell", counted_cells(df, key, **sizes))
+    counts = {r["__cell"]: r["count"] for r in celled.groupBy("__cell").count().collect()}  # a number a cell
+    used = sorted(counts)
+    starts = dict(zip(used, itertools.accumulate([0, *(counts[c] for c in used)])))
+    start = F.get(F.split(F.lit(",".join(str(starts.get(c, 0)) for c in range(max(used, default=0) + 1))), ","), F.col("__cell")).cast("long")
+    place = start + F.row_number().over(Window.partitionBy("__cell").orderBy(key)) - 1
+    return celled.withColumn(name, place.cast("long")).drop("__cell")
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], most: int = 100_000, accuracy: int = 10_000) -> list[float | None]:
+    """Percentiles with linear interpolation, exact, without one task that holds all values.
+
+    A rank is bracketed by approximate quantiles, what lies below is counted, and the bracket is narrowed until it holds few values, of which the
+    histogram is taken.  Nulls are left out; None for no values.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+
+    def ranked(k: int) -> float:
+        part, rank, size = rows, k, n
+        while size > most:
+            marks = [max(0.0, (rank - 2 * size / accuracy) / size), min(1.0, (rank + 1 + 2 * size / accuracy) / size)]
+            low, high = part.agg(F.percentile_approx("v", marks, accuracy).alias("q")).first()["q"]
+            c = part.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")).first()
+            if not c["below"] <= rank < c["below"] + c["inside"]:
+                break
+            if low == high:
+                return low
+            if c["inside"] == size:
+                break
+            part, rank, size = part.where(F.col("v").between(low, high)), rank - c["below"], c["inside"]
+        seen = 0
+        for r in part.groupBy("v").count().orderBy("v").toLocalIterator():
+            seen += r["count"]
+            if seen > rank:
+                return r["v"]
+        raise AssertionError("rank beyond the values")
+
+    out: list[float | None] = []
+    for share in shares:
+        if not n:
+            out.append(None)
+            continue
+        at = share * (n - 1)
+        low = ranked(int(at))
+        high = low if at == int(at) else ranked(int(at) + 1)
+        out.append(low + (high - low) * (at - int(at)))
+    return out
+
+
+def contiguous_ranges(low: int, high: int, n: int) -> list[tuple[int, int]]:
+    """n ranges of whole numbers that cover low to high, both included; the first ones take what doesn't divide; empty ones end before they begin."""
+    whole, rest = divmod(high - low + 1, n)
+    ends = list(itertools.accumulate(whole + (k < rest) for k in range(n)))
+    return [(low + end - whole - (k < rest), low + end - 1) for k, end in enumerate(ends)]
+
+
 def quotas(total: int, shares: Sequence[float]) -> list[int]:
     """Largest remainders: whole parts first, what is left to the largest fractions, earlier ones first."""
     whole = sum(shares)

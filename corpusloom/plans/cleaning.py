@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import quality as Q
@@ -15,6 +14,21 @@ def _lit(s: str) -> str:
 
 
 _X = "coalesce(text, '')"
+#: What is put before or behind every so many documents' texts, so that each predicate has rows to find: (remainder, before, behind).
+_MARKS = ((0, "March ", ""), (1, "Home | ", ""), (2, "", " ("), (3, "", "...."), (5, "", ")"), (6, "", '"'), (7, "“", ""))
+_EMPTY, _OF = 4, 13
+
+
+def marked_text():
+    """A document's text as the predicates are given it: marked by its id, or emptied."""
+    out = F.coalesce("text", F.lit(""))
+    for k, before, behind in _MARKS:
+        out = F.when(F.col("doc_id") % _OF == k, F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit(behind))).otherwise(out)
+    return F.when(F.col("doc_id") % _OF == _EMPTY, F.lit("")).otherwise(out)
+
+
+_MARKED = f"CASE doc_id % {_OF} " + " ".join(f"WHEN {k} THEN {_lit(a)} || {_X} || {_lit(b)}" for k, a, b in _MARKS) + f" WHEN {_EMPTY} THEN '' ELSE {_X} END"
+_MARKED_DOCUMENTS = f"marked AS (SELECT doc_id, lang, {_MARKED} AS text FROM documents)"
 _VALID = "".join("\\" + c if c in "\\]^-[" else c for c in Q.VALID_SIGNS)
 _BAD_SQL = {
     "t40_starts_with_month": f"regexp_matches(lower({_X}), '^({'|'.join(Q.MONTHS)})')",
@@ -32,17 +46,17 @@ _BAD_SQL = {
 
 def _predicate(name):
     def q(spark, d):
-        return documents(spark, d).where(Q.BAD[name](F.coalesce("text", F.lit("")))).select("doc_id", "lang")
+        return documents(spark, d).select("doc_id", "lang", marked_text().alias("text")).where(Q.BAD[name](F.col("text"))).select("doc_id", "lang")
 
-    return q, f"SELECT doc_id, lang FROM documents WHERE {_BAD_SQL[name]}"
+    return q, f"WITH {_MARKED_DOCUMENTS} SELECT doc_id, lang FROM marked WHERE {_BAD_SQL[name]}"
 
 
 def predicate_counts(spark, d):
-    x = F.coalesce("text", F.lit(""))
-    return documents(spark, d).groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f(x).cast("int")).cast("long").alias(n) for n, f in Q.BAD.items()], F.sum(Q.passes(x).cast("int")).cast("long").alias("passed"))
+    x = F.col("text")
+    return documents(spark, d).select("lang", marked_text().alias("text")).groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f(x).cast("int")).cast("long").alias(n) for n, f in Q.BAD.items()], F.sum(Q.passes(x).cast("int")).cast("long").alias("passed"))
 
 
-PREDICATE_COUNTS = "SELECT lang, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {s}) AS {n}" for n, s in _BAD_SQL.items()) + ", count(*) FILTER (WHERE NOT (" + " OR ".join(_BAD_SQL.values()) + ")) AS passed FROM documents GROUP BY lang"
+PREDICATE_COUNTS = f"WITH {_MARKED_DOCUMENTS} SELECT lang, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {s}) AS {n}" for n, s in _BAD_SQL.items()) + ", count(*) FILTER (WHERE NOT (" + " OR ".join(_BAD_SQL.values()) + ")) AS passed FROM marked GROUP BY lang"
 
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -94,18 +108,20 @@ MD5_KEEP_FIRST = "SELECT min(doc_id) AS doc_id, source, lang FROM documents GROU
 def funnel(spark, d):
     """Rows that each step of the variety filter leaves, by source and language: not empty, first of its text, good by all predicates, of a usual length.
 
-    Flags are columns of one pass; a window marks repeats and one aggregation of bounds is joined back.
+    One scan: rows are counted by the hash of their text, then texts by their flags and length, and counts and quartiles are taken from that histogram.
     """
-    x = documents(spark, d).select("doc_id", "source", "lang", T.squeeze(F.coalesce("text", F.lit(""))).alias("t"))
-    x = x.withColumn("h", F.md5(F.col("t").cast("binary"))).withColumn("full", F.length("t") > 0).withColumn("good", Q.passes(F.col("t"))).withColumn("n", F.size(T.words(F.col("t")))).drop("t")
-    first = Window.partitionBy("source", "lang", "h").orderBy("doc_id")
-    x = x.withColumn("fresh", F.col("full") & (F.row_number().over(first) == 1)).withColumn("good", F.col("fresh") & F.col("good"))
-    q = x.where("good").groupBy("source", "lang").agg(F.percentile("n", F.lit(0.25)).alias("q1"), F.percentile("n", F.lit(0.75)).alias("q3"))
-    x = x.join(q, ["source", "lang"], "left")
+    x = documents(spark, d).select("source", "lang", T.squeeze(F.coalesce("text", F.lit(""))).alias("t"))
+    x = x.select("source", "lang", F.md5(F.col("t").cast("binary")).alias("h"), F.struct((F.length("t") > 0).alias("full"), Q.passes(F.col("t")).alias("good"), F.size(T.words(F.col("t"))).cast("long").alias("n")).alias("f"))
+    texts = x.groupBy("source", "lang", "h").agg(F.first("f").alias("f"), F.count("*").alias("rows"))
+    kinds = texts.groupBy("source", "lang", "f.full", (F.col("f.full") & F.col("f.good")).alias("good"), "f.n").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"))
+    total = lambda test, c, name: F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long").alias(name)
+    lengths, weight = F.when(F.col("good"), F.col("n")), F.when(F.col("good"), F.col("texts")).otherwise(1)
+    q = [F.percentile(lengths, F.lit(p), weight).alias(n) for n, p in (("q1", 0.25), ("q3", 0.75))]
+    listed = F.collect_list(F.when(F.col("good"), F.struct("n", "texts"))).alias("lengths")
+    out = kinds.groupBy("source", "lang").agg(F.sum("rows").cast("long").alias("raw"), total(F.col("full"), "rows", "after_nonempty"), total(F.col("full"), "texts", "after_dedup"), total(F.col("good"), "texts", "after_filters"), *q, listed)
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    x = x.withColumn("usual", F.col("good") & F.coalesce(F.col("n").between(lo, hi), F.lit(False)))
-    s = lambda c, n: F.sum(F.col(c).cast("int")).cast("long").alias(n)
-    out = x.groupBy("source", "lang").agg(F.count("*").alias("raw"), s("full", "after_nonempty"), s("fresh", "after_dedup"), s("good", "after_filters"), s("usual", "after_iqr"), F.round(F.coalesce(F.first(lo), F.lit(0.0)), 6).alias("iqr_lo"), F.round(F.coalesce(F.first(hi), F.lit(0.0)), 6).alias("iqr_hi"))
+    usual = F.aggregate(F.filter("lengths", lambda s: s["n"].between(lo, hi)), F.lit(0).cast("long"), lambda k, s: k + s["texts"])
+    out = out.select("source", "lang", "raw", "after_nonempty", "after_dedup", "after_filters", F.coalesce(usual, F.lit(0)).cast("long").alias("after_iqr"), F.round(F.coalesce(lo, F.lit(0.0)), 6).alias("iqr_lo"), F.round(F.coalesce(hi, F.lit(0.0)), 6).alias("iqr_hi"))
     return out.withColumn("drop_dedup", F.col("after_nonempty") - F.col("after_dedup")).withColumn("drop_filters", F.col("after_dedup") - F.col("after_filters")).withColumn("drop_iqr", F.col("after_filters") - F.col("after_iqr"))
 
 

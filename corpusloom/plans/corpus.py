@@ -47,17 +47,6 @@ y AS (SELECT *, length(domain) > 40 AND NOT starts_with(lower(domain), 'src') AS
 SELECT doc_id, CASE WHEN NOT coalesce(lost, false) THEN domain END AS domain, CASE WHEN lost THEN text END AS label, length(CASE WHEN lost THEN domain ELSE text END) AS chars FROM y"""
 
 
-def canonical_pick(spark, d):
-    x = documents(spark, d).select("doc_id", "lang", "source", T.squeeze("text").alias("text"))
-    kept = R.keep_canonical(x, [F.col("lang"), F.col("source"), F.substring(F.lower("text"), 1, 20)], "text", "doc_id")
-    return kept.select("doc_id", "lang", "source", F.length("text").cast("long").alias("chars"))
-
-
-CANONICAL_PICK = r"""WITH x AS (SELECT doc_id, lang, source, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, substr(lower(text), 1, 20) ORDER BY length(text) DESC, doc_id DESC) AS n FROM x)
-SELECT doc_id, lang, source, length(text) AS chars FROM r WHERE n = 1"""
-
-
 def canonical_text(spark, d):
     """Of each language and source one row a text, case aside; the whole text is the key, by its hash."""
     x = documents(spark, d).where("text <> ''").select("doc_id", "lang", "source", "text")
@@ -119,21 +108,20 @@ GUARD_ANTIJOIN = f"WITH {_GUARD} SELECT doc_id FROM documents WHERE lower(trim(c
 
 
 def contains_guard(spark, d):
-    """Documents that contain a benchmark text: candidates share a word 5-gram's hash with its beginning, then the text is searched.
+    """Documents that contain a guarded text, whole and in lower case: benchmark items, and short beginnings of theirs.
 
-    Each benchmark text's first five words are one key; a document's keys are all its runs of five words.
+    A text of three words or more has its inner words whole in the document that contains it, so it is looked up by a hash of the first three of
+    them, or of the one or two there are; a shorter one by its first three characters, or all of fewer.  What shares a key is searched for.
     """
-    words = T.words(F.lower("text"))
-    bench = table(spark, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("needle"), words.alias("w")).where(F.size("w") >= 5)
-    bench = bench.select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")).alias("key"))
-    runs = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.xxhash64(F.concat_ws(" ", F.get("w", k - 1), F.get("w", k), F.get("w", k + 1)))))
-    docs = documents(spark, d).select("doc_id", F.lower("text").alias("t"), words.alias("w")).select("doc_id", "t", F.explode(F.array_distinct(runs)).alias("key"))
-    hit = docs.drop("t").join(bench.select("key", "item_id", "needle"), "key").select("doc_id", "item_id", "needle").distinct()
-    whole = documents(spark, d).select("doc_id", F.lower("text").alias("t"))
-    return hit.join(whole, "doc_id").where(F.col("t").contains(F.col("needle"))).groupBy("doc_id").agg(F.count("*").alias("items"))
+    bench = table(spark, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("needle"))
+    short = bench.where("item_id % 7 = 0").select("item_id", F.array_join(F.slice(F.split("needle", " "), 1, (F.col("item_id") % 4 + 1).cast("int")), " ").alias("needle"))
+    guard = R.contained_texts(documents(spark, d).select("doc_id", F.lower("text").alias("t")), "doc_id", "t", bench.unionByName(short).where("needle <> ''").distinct(), "needle")
+    return guard.groupBy("doc_id").agg(F.count("*").alias("items"))
 
 
-CONTAINS_GUARD = "SELECT doc_id, count(*) AS items FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE len(regexp_extract_all(b.text, '\\S+')) >= 5 GROUP BY doc_id"
+CONTAINS_GUARD = """WITH b AS (SELECT item_id, lower(trim(text)) AS needle FROM benchmark),
+g AS (SELECT DISTINCT * FROM (SELECT * FROM b UNION ALL SELECT item_id, array_to_string(list_slice(string_split(needle, ' '), 1, item_id % 4 + 1), ' ') FROM b WHERE item_id % 7 = 0) WHERE needle <> '')
+SELECT doc_id, count(*) AS items FROM documents d JOIN g ON contains(lower(d.text), needle) GROUP BY doc_id"""
 
 
 def train_view(spark, d):
@@ -359,7 +347,6 @@ QUERIES = {
     "x6_evaluation_examples": (evaluation_examples, EVALUATION_EXAMPLES),
     "x9_task_resolution": (task_resolution, TASK_RESOLUTION),
     "x10_format_counters": (format_counters, FORMAT_COUNTERS),
-    "a8_canonical_pick": (canonical_pick, CANONICAL_PICK),
     "a8_canonical_text": (canonical_text, CANONICAL_TEXT),
     "f2_label_repair": (label_repair, LABEL_REPAIR),
     "f6_misplaced_repair": (misplaced_repair, MISPLACED_REPAIR),

@@ -77,20 +77,49 @@ def conditional_rate(spark, d):
 CONDITIONAL_RATE = "SELECT lang, count(*) FILTER (WHERE length(text) > 2000) AS masked, round(coalesce(count(*) FILTER (WHERE length(text) > 2000 AND contains(text, ' | ')) / CAST(nullif(count(*) FILTER (WHERE length(text) > 2000), 0) AS DOUBLE), 0), 6) AS rate FROM documents GROUP BY lang"
 
 
+def _translations(spark, d):
+    return _hyps(spark, d).select(F.col("line_no").alias("id"), T.without_thoughts(F.col("hyp")).alias("hyp"), T.squeeze("ref").alias("ref"))
+
+
 def bleu(spark, d):
-    return M.corpus_bleu(_hyps(spark, d).select(F.col("line_no").alias("id"), T.without_thoughts(F.col("hyp")).alias("hyp"), T.squeeze("ref").alias("ref")))
+    return M.corpus_bleu(_translations(spark, d), tokenise=True)
+
+
+def sentence_bleu(spark, d):
+    return M.sentence_bleu(_translations(spark, d))
+
+
+def worst_bleu(spark, d):
+    return M.worst_by_bleu(_translations(spark, d), 20)
+
+
+def _tokenised(x: str) -> str:
+    x = f"' ' || coalesce({x}, '') || ' '"
+    for pattern, by in M.BLEU_TOKENS:
+        x = f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"list_filter(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
 _GRAMS = " UNION ALL ".join(
-    f"SELECT id, {n} AS n, '{side}' AS side, array_to_string(list_slice({side}, k, k + {n - 1}), ' ') AS gram FROM (SELECT id, {side}, unnest(range(1, len({side}) - {n - 2})) AS k FROM w WHERE len({side}) >= {n})"
+    f"SELECT id, {n} AS n, '{side}' AS side, array_to_string(list_slice({side}, k, k + {n - 1}), chr(31)) AS gram FROM (SELECT id, {side}, unnest(range(1, len({side}) - {n - 2})) AS k FROM w WHERE len({side}) >= {n})"
     for n in (1, 2, 3, 4)
     for side in ("hyp", "ref")
 )
-BLEU = f"""WITH {PAIRS}, {_HYPS}, w AS (SELECT line_no AS id, string_split(h, ' ') AS hyp, string_split(r, ' ') AS ref FROM h), g AS ({_GRAMS}),
+_MATCHES = f"""{PAIRS}, {_HYPS}, w AS (SELECT line_no AS id, {_tokenised('h')} AS hyp, {_tokenised('r')} AS ref FROM h), g AS ({_GRAMS}),
 c AS (SELECT id, n, gram, count(*) FILTER (WHERE side = 'hyp') AS a, count(*) FILTER (WHERE side = 'ref') AS b FROM g GROUP BY id, n, gram),
-t AS (SELECT n, CAST(sum(least(a, b)) AS BIGINT) AS matched, CAST(sum(a) AS BIGINT) AS total FROM c GROUP BY n),
-l AS (SELECT CAST(sum(len(hyp)) AS BIGINT) AS hl, CAST(sum(len(ref)) AS BIGINT) AS rl FROM w)
-SELECT (SELECT hl FROM l) AS hyp_words, (SELECT rl FROM l) AS ref_words, round(100 * (SELECT CASE WHEN hl >= rl THEN 1.0 ELSE exp(1 - rl / CAST(hl AS DOUBLE)) END FROM l) * exp(avg(ln(matched / CAST(total AS DOUBLE)))), 4) AS bleu FROM t"""
+m AS (SELECT id, n, CAST(sum(least(a, b)) AS BIGINT) AS matched, CAST(sum(a) AS BIGINT) AS total FROM c GROUP BY id, n HAVING sum(a) > 0)"""
+_LOG = "ln(CASE WHEN matched > 0 THEN matched / CAST(total AS DOUBLE) ELSE 1 / (power(2, count(*) FILTER (WHERE matched = 0) OVER w) * total) END)"
+BLEU = f"""WITH {_MATCHES}, t AS (SELECT n, sum(matched) AS matched, sum(total) AS total FROM m GROUP BY n),
+s AS (SELECT n, matched, {_LOG} AS l FROM t WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT CAST(sum(len(hyp)) AS BIGINT) AS hl, CAST(sum(len(ref)) AS BIGINT) AS rl FROM w),
+x AS (SELECT hl, rl, (SELECT count(*) FROM s) = 4 AND (SELECT max(matched) FROM s) > 0 AS has_some, (SELECT min(matched) FROM s) > 0 AS has_every,
+  round(100 * CASE WHEN hl >= rl THEN 1.0 ELSE exp(1 - rl / CAST(hl AS DOUBLE)) END * exp((SELECT avg(l) FROM s)), 4) AS v FROM l)
+SELECT hl AS hyp_words, rl AS ref_words, CASE WHEN has_some AND has_every THEN v ELSE 0.0 END AS bleu, CASE WHEN has_some THEN v ELSE 0.0 END AS bleu_smoothed FROM x"""
+_SENTENCE = f"""{_MATCHES}, s AS (SELECT id, n, matched, {_LOG} AS l FROM m WINDOW w AS (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT id, max(matched) AS most, avg(l) AS l FROM s GROUP BY id),
+b AS (SELECT w.id, CASE WHEN coalesce(most, 0) = 0 THEN 0.0 ELSE round(100 * CASE WHEN len(hyp) >= len(ref) THEN 1.0 ELSE exp(1 - len(ref) / CAST(len(hyp) AS DOUBLE)) END * exp(l), 4) END AS sentence_bleu FROM w LEFT JOIN t ON w.id = t.id)"""
+SENTENCE_BLEU = f"WITH {_SENTENCE} SELECT id, sentence_bleu FROM b"
+WORST_BLEU = f"WITH {_SENTENCE} SELECT id, sentence_bleu FROM b ORDER BY sentence_bleu, id LIMIT 20"
 
 
 def best_metric(spark, d):
@@ -126,6 +155,8 @@ QUERIES = {
     "a24_binary_report": (binary_report, BINARY_REPORT),
     "a25_macro_f1": (macro_f1, MACRO_F1),
     "a26_bleu": (bleu, BLEU),
+    "a26_sentence_bleu": (sentence_bleu, SENTENCE_BLEU),
+    "a26_worst_bleu": (worst_bleu, WORST_BLEU),
     "a27_copy_rates": (copy_rates, COPY_RATES),
     "a28_conditional_rate": (conditional_rate, CONDITIONAL_RATE),
     "a30_best_metric": (best_metric, BEST_METRIC),

@@ -57,11 +57,12 @@ SELECT * FROM new UNION ALL SELECT line_no, br FROM pairs WHERE line_no NOT IN (
 
 
 def anti(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-ANTI = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"
+ANTI = "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' WHERE o_custkey IS NULL"
 
 
 def semi(spark, d):

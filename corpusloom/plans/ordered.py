@@ -13,6 +13,7 @@ from corpusloom.operators import nearest as N
 from corpusloom.operators import sequence as S
 from corpusloom.operators import subtitles as U
 from corpusloom.plans.views import PAIRS, pairs, table
+from corpusloom.session import shared_folder
 from corpusloom.streaming import ingest as I
 
 CHANGES = "pair_id long, line_no long, op string, br string, pt string"
@@ -31,15 +32,31 @@ def continuation_merge(spark, d):
 
 
 def neighbour_moves(spark, d):
+    def run(rows: list[tuple]) -> list[tuple]:
+        moved = S.move_clauses([(a or "", b or "") for *_, a, b in rows])
+        return [(p, n, *sides) for (p, n, _, _), sides in zip(rows, moved)]
+
+    return S.over_blocks(pairs(spark, d).select("pair_id", "line_no", "br", "pt"), "pair_id", "line_no", run, "pair_id long, line_no long, br string, pt string")
+
+
+def move_preview(spark, d):
+    """The moves with the greatest gain: between which lines, on which side, which way, and the piece that moves."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        moved = S.move_clauses([(a or "", b or "") for a, b in zip(rows.br, rows.pt)])
-        return pd.DataFrame([(p, n, a, b) for p, n, (a, b) in zip(rows.pair_id, rows.line_no, moved)], columns=["pair_id", "line_no", "br", "pt"])
+        log: list[tuple] = []
+        S.move_clauses([(a or "", b or "") for a, b in zip(rows.br, rows.pt)], rounds=1, log=log)
+        made = [(int(rows.line_no[k]), int(rows.line_no[k + 1]), ("br", "pt")[side], name, piece, round(gain, 6)) for k, side, name, piece, gain in log]
+        return pd.DataFrame(made, columns=["line_no", "next_line_no", "side", "operation", "piece", "gain"])
 
-    return S.over_segments(pairs(spark, d), "pair_id", "line_no", run, "pair_id long, line_no long, br string, pt string")
+    moves = S.over_segments(pairs(spark, d), "pair_id", "line_no", run, "line_no long, next_line_no long, side string, operation string, piece string, gain double")
+    return moves.orderBy(F.col("gain").desc(), "line_no", "side").limit(8)
 
 
 def prefix_clean(spark, d):
-    return S.over_segments(pairs(spark, d), "pair_id", "line_no", _changes(S.clean_prefixes), CHANGES)
+    """Pairs of which every third begins with what the row before it says, on both sides."""
+    w = Window.partitionBy("pair_id").orderBy("line_no")
+    again = lambda c: F.when(F.row_number().over(w) % 3 == 0, F.concat_ws(" ", F.lag(c).over(w), F.col(c))).otherwise(F.col(c)).alias(c)
+    return S.over_segments(pairs(spark, d).select("pair_id", "line_no", again("br"), again("pt")), "pair_id", "line_no", _changes(S.clean_prefixes), CHANGES)
 
 
 def _blocks(spark, d):
@@ -74,17 +91,26 @@ def _align(method):
     return lambda spark, d: U.align(_blocks(spark, d), "user_id", method)
 
 
-def near_pairs(spark, d):
+def nearest(spark, d):
+    """Every row's largest Jaccard with any other row, however small."""
     p = pairs(spark, d).select("line_no", T.tokens(F.lower("br")).alias("t"))
-    found = N.similar_pairs(p, "line_no", "t", 0.3)
-    return N.nearest_summary(found, p, "line_no")
+    return N.nearest_jaccard(p, "line_no", "t").select(F.col("k").alias("line_no"), F.round("j", 6).alias("nearest"))
+
+
+def similar_pairs(spark, d):
+    """Pairs of rows whose token sets have a Jaccard of 0.75 or more, copies with the first of them only."""
+    p = pairs(spark, d).select("line_no", T.tokens(F.lower("br")).alias("t"))
+    return N.similar_pairs(p, "line_no", "t", 0.75).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce(br, '')), '" + T.TOKEN.replace("'", "''") + "'))"
-NEAR_PAIRS = f"""WITH {PAIRS}, s AS (SELECT line_no AS k, {_TOK} AS s FROM pairs),
+_NEAREST = f"""{PAIRS}, s AS (SELECT line_no AS k, {_TOK} AS s FROM pairs),
 j AS (SELECT a.k, max(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS j FROM s a JOIN s b ON a.k <> b.k AND len(a.s) > 0 AND len(b.s) > 0 GROUP BY a.k),
-k AS (SELECT s.k, CASE WHEN j >= 0.3 - 1e-9 THEN j END AS j FROM s LEFT JOIN j ON s.k = j.k)
-SELECT count(*) AS n, count(j) AS near, count(*) FILTER (WHERE j >= 0.7 - 1e-9) AS very_near, round(quantile_cont(j, 0.5), 6) AS median FROM k"""
+k AS (SELECT s.k, CASE WHEN len(s.s) = 0 AND (SELECT count(*) FROM s WHERE len(s) = 0) > 1 THEN 1 ELSE coalesce(j, 0) END AS j FROM s LEFT JOIN j ON s.k = j.k)"""
+NEAREST = f"WITH {_NEAREST} SELECT k AS line_no, round(j, 6) AS nearest FROM k"
+SIMILAR_PAIRS = f"""WITH {PAIRS}, s AS (SELECT line_no AS k, list_sort({_TOK}) AS s FROM pairs), r AS (SELECT s, min(k) AS k FROM s WHERE len(s) > 0 GROUP BY s)
+SELECT r.k AS a, s.k AS b, 1.0 AS jaccard FROM s JOIN r ON s.s = r.s AND s.k <> r.k
+UNION ALL SELECT a.k, b.k, round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 6) FROM r a JOIN r b ON a.k < b.k AND 100 * len(list_intersect(a.s, b.s)) >= 75 * len(list_distinct(list_concat(a.s, b.s)))"""
 
 
 def nearest_report(spark, d):
@@ -92,18 +118,16 @@ def nearest_report(spark, d):
     return N.nearest_report(N.nearest_jaccard(p, "line_no", "t"))
 
 
-NEAREST_REPORT = f"""WITH {PAIRS}, s AS (SELECT line_no AS k, {_TOK} AS s FROM pairs),
-j AS (SELECT a.k, max(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS j FROM s a JOIN s b ON a.k <> b.k AND len(a.s) > 0 AND len(b.s) > 0 GROUP BY a.k),
-k AS (SELECT s.k, CASE WHEN len(s.s) = 0 AND (SELECT count(*) FROM s WHERE len(s) = 0) > 1 THEN 1 ELSE coalesce(j, 0) END AS j FROM s LEFT JOIN j ON s.k = j.k)
+NEAREST_REPORT = f"""WITH {_NEAREST}
 SELECT count(*) AS n, coalesce(round(avg(j), 4), 0) AS mean_max, coalesce(round(quantile_disc(j, 0.9), 4), 0) AS p90_max, count(*) FILTER (WHERE j >= 0.6) AS ge_0_6, count(*) FILTER (WHERE j >= 0.7) AS ge_0_7 FROM k"""
 
 
 def admission(spark, d):
-    """Candidates of each of 64 segments in order of line, with the verdict of the admission control."""
-    p = pairs(spark, d).withColumn("segment", F.pmod("pair_id", F.lit(64)))
+    """Candidates of each conversation in order of line, with the verdict of the admission control."""
+    p = pairs(spark, d).withColumn("segment", F.col("pair_id"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = S.admit([(int(n), "short" if len(t or "") < 200 else "long", t or "") for n, t in zip(rows.line_no, rows.br)], {"short": 20, "long": 40})
+        got = S.admit([(int(n), "short" if len(t or "") < 200 else "long", t or "") for n, t in zip(rows.line_no, rows.br)], {"short": 2, "long": 3})
         return pd.DataFrame([(rows.segment.iloc[0], *x) for x in got], columns=["segment", "line_no", "verdict"])
 
     return S.over_segments(p, "segment", "line_no", run, "segment long, line_no long, verdict string")
@@ -133,7 +157,7 @@ def boilerplate(spark, d):
 
 def stream_ingest(spark, d):
     schema = table(spark, d, "events").schema
-    got = I.ingest(spark, d, "events.parquet", schema, I.shared_folder(spark, "stream"), "event_id")
+    got = I.ingest(spark, d, "events.parquet", schema, shared_folder(spark, "stream"), "event_id")
     return got.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
@@ -149,7 +173,9 @@ QUERIES = {
     "q17_admission": (admission, None),
     "j11_assignment": (_align("optimal"), None),
     "j12_greedy": (_align("greedy"), None),
-    "j14_near_pairs": (near_pairs, NEAR_PAIRS),
+    "j14_nearest": (nearest, NEAREST),
+    "j14_similar_pairs": (similar_pairs, SIMILAR_PAIRS),
+    "o10_move_preview": (move_preview, None),
     "a32_nearest_report": (nearest_report, NEAREST_REPORT),
     "q7_sentence_moves": (sentence_moves, None),
     "t34_alignment_flags": (alignment_flags, None),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.relational import exact_percentiles
 from corpusloom.plans.views import PAIRS, documents, pairs, table
 
 LOW, HIGH, HARD_LOW, HARD_HIGH = 0.8, 1.25, 0.5, 2.0
@@ -36,7 +37,8 @@ def ratio_stats(spark, d):
     pct = lambda cond, name: F.round(100.0 * F.sum(F.when(cond, 1).otherwise(0)) / F.count("*"), 6).alias(name)
     inside = F.col("r").between(LOW, HIGH)
     loose = F.col("r").between(HARD_LOW, HARD_HIGH)
-    return p.agg(_n("n"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.round(F.percentile("r", F.lit(0.5)), 6).alias("median_ratio"), F.round(F.percentile("r", F.lit(0.25)), 6).alias("q1"), F.round(F.percentile("r", F.lit(0.75)), 6).alias("q3"), _sum(inside, "strict_ok"), _sum(loose, "loose_ok"), _sum(~loose, "outliers"), pct(inside, "pct_strict"), pct(loose, "pct_loose"), F.round(F.corr("lb", "lp"), 6).alias("length_corr"))
+    median, q1, q3 = (F.round(F.lit(q).cast("double"), 6) for q in exact_percentiles(p, "r", (0.5, 0.25, 0.75)))
+    return p.agg(_n("n"), F.round(F.avg("r"), 6).alias("mean_ratio"), median.alias("median_ratio"), q1.alias("q1"), q3.alias("q3"), _sum(inside, "strict_ok"), _sum(loose, "loose_ok"), _sum(~loose, "outliers"), pct(inside, "pct_strict"), pct(loose, "pct_loose"), F.round(F.corr("lb", "lp"), 6).alias("length_corr"))
 
 
 RATIO_STATS = f"""WITH {PAIRS},
@@ -55,13 +57,13 @@ def _ratios(spark, d):
 
 def mad_outliers(spark, d):
     x = _ratios(spark, d)
-    middle = x.agg(F.percentile("r", F.lit(0.5)).alias("med"))
-    off = x.crossJoin(F.broadcast(middle)).withColumn("off", F.abs(F.col("r") - F.col("med")))
-    spread = off.agg(F.percentile("off", F.lit(0.5)).alias("mad"))
-    z = off.crossJoin(F.broadcast(spread)).withColumn("z", 0.6745 * F.col("off") / F.when(F.col("mad") != 0, F.col("mad")))
+    (med,) = exact_percentiles(x, "r", (0.5,))
+    off = x.withColumn("off", F.abs(F.col("r") - F.lit(med).cast("double")))
+    (mad,) = exact_percentiles(off, "off", (0.5,))
+    z = off.withColumn("z", 0.6745 * F.col("off") / F.lit(mad or None).cast("double"))
     hard = ~F.col("r").between(HARD_LOW, HARD_HIGH)
     robust = F.coalesce(F.col("z") > 3.5, F.lit(False))
-    return z.agg(_n("n"), F.round(F.first("med"), 6).alias("med"), F.round(F.first("mad"), 6).alias("mad"), _sum(hard, "n_hard"), _sum(robust, "n_robust"), _sum(hard & robust, "n_both"), _sum(hard | robust, "n_union"))
+    return z.agg(_n("n"), F.round(F.lit(med).cast("double"), 6).alias("med"), F.round(F.lit(mad).cast("double"), 6).alias("mad"), _sum(hard, "n_hard"), _sum(robust, "n_robust"), _sum(hard & robust, "n_both"), _sum(hard | robust, "n_union"))
 
 
 MAD_OUTLIERS = f"""WITH {PAIRS},
@@ -87,6 +89,24 @@ x AS (SELECT line_no, length(br) AS lb, length(pt) AS lp, round(length(pt) / CAS
 UNION ALL (SELECT 'long' AS side, line_no, lb, lp, ratio FROM x WHERE ratio > {HARD_HIGH} ORDER BY ratio DESC, line_no LIMIT 10)"""
 
 
+def scatter_data(spark, d):
+    """Points for a length scatter: a seeded sample of rows inside the band, and of long enough rows outside it the most extreme of either side."""
+    x = _ratios(spark, d).withColumn("ratio", F.round("r", 6))
+    inside = x.where(F.col("ratio").between(HARD_LOW, HARD_HIGH)).orderBy(F.md5(F.concat(F.lit("7:"), F.col("line_no").cast("string")).cast("binary")), "line_no").limit(200)
+    out = x.where((F.col("lb") >= 30) & (F.col("lp") >= 30))
+    low = out.where(F.col("ratio") < HARD_LOW).orderBy("ratio", "line_no").limit(50)
+    high = out.where(F.col("ratio") > HARD_HIGH).orderBy(F.col("ratio").desc(), "line_no").limit(50)
+    parts = [p.select("line_no", F.col("lb").cast("long").alias("lb"), F.col("lp").cast("long").alias("lp"), F.lit(name).alias("layer")) for name, p in (("band", inside), ("short", low), ("long", high))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SCATTER_DATA = f"""WITH {PAIRS},
+x AS (SELECT line_no, length(br) AS lb, length(pt) AS lp, round(length(pt) / CAST(length(br) AS DOUBLE), 6) AS ratio FROM pairs WHERE length(br) > 0 AND length(pt) > 0)
+(SELECT line_no, lb, lp, 'band' AS layer FROM x WHERE ratio BETWEEN {HARD_LOW} AND {HARD_HIGH} ORDER BY md5('7:' || line_no), line_no LIMIT 200)
+UNION ALL (SELECT line_no, lb, lp, 'short' FROM x WHERE lb >= 30 AND lp >= 30 AND ratio < {HARD_LOW} ORDER BY ratio, line_no LIMIT 50)
+UNION ALL (SELECT line_no, lb, lp, 'long' FROM x WHERE lb >= 30 AND lp >= 30 AND ratio > {HARD_HIGH} ORDER BY ratio DESC, line_no LIMIT 50)"""
+
+
 def hard_outlier_delete(spark, d):
     p = pairs(spark, d)
     r = F.length("pt") / F.when(F.length("br") > 0, F.length("br"))
@@ -143,13 +163,28 @@ TOKEN_STATS = f"""SELECT coalesce(lower(lang), '(null)') AS split, count(*) AS n
 
 
 def char_len_stats(spark, d):
-    x = documents(spark, d).select("lang", F.length("text").alias("n"))
-    return x.groupBy("lang").agg(_n("n_rows"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"), *[F.round(F.percentile("n", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)])
+    """Of each language; percentiles are taken from the histogram of lengths, which is counted before anything moves."""
+    x = documents(spark, d).groupBy("lang", F.length("text").cast("long").alias("n")).agg(F.count("*").alias("c"))
+    known = F.when(F.col("n").isNotNull(), F.col("c"))
+    return x.groupBy("lang").agg(F.sum("c").alias("n_rows"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum(known), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), *[F.round(F.percentile("n", F.lit(p), F.col("c")), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)])
 
 
 CHAR_LEN_STATS = "SELECT lang, count(*) AS n_rows, round(avg(length(text)), 6) AS mean, min(length(text)) AS least, max(length(text)) AS most, " + ", ".join(f"round(quantile_cont(length(text), {p}), 6) AS p{int(100 * p)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM documents GROUP BY lang"
 
 
+def approximate_length_stats(spark, d):
+    """Whether sketched quantiles of lengths are within the stated share of ranks of exact ones: a sketch of 1/1000 a language, checked by counting."""
+    x = documents(spark, d).select("lang", F.length("text").cast("long").alias("n")).where("n IS NOT NULL")
+    shares = (0.5, 0.9, 0.95, 0.99)
+    q = x.groupBy("lang").agg(F.percentile_approx("n", list(shares), 1000).alias("q"))
+    y = x.groupBy("lang", "n").agg(F.count("*").alias("c")).join(F.broadcast(q), "lang")
+    near = [((F.sum(F.when(F.col("n") < F.col("q")[k], F.col("c")).otherwise(0)) <= p * F.sum("c") + 0.002 * F.sum("c") + 1) & (F.sum(F.when(F.col("n") <= F.col("q")[k], F.col("c")).otherwise(0)) >= p * F.sum("c") - 0.002 * F.sum("c") - 1)).alias(f"p{int(100 * p)}_near") for k, p in enumerate(shares)]
+    return y.groupBy("lang").agg(F.sum("c").alias("n_rows"), *near)
+
+
+APPROXIMATE_LENGTH_STATS = "SELECT lang, count(*) AS n_rows, true AS p50_near, true AS p90_near, true AS p95_near, true AS p99_near FROM documents WHERE text IS NOT NULL GROUP BY lang"
+
+
 def counts_by_split(spark, d):
     return documents(spark, d).groupBy(F.coalesce("source", F.lit("(null)")).alias("dataset"), F.coalesce("lang", F.lit("(null)")).alias("split")).agg(_n("n"))
 
@@ -233,6 +268,7 @@ QUERIES = {
     "a6_top_buckets": (top_buckets, TOP_BUCKETS),
     "a7_domain_stats": (domain_stats, DOMAIN_STATS),
     "a9_char_len_stats": (char_len_stats, CHAR_LEN_STATS),
+    "a11_sketched_lengths": (approximate_length_stats, APPROXIMATE_LENGTH_STATS),
     "a13_ratio_stats": (ratio_stats, RATIO_STATS),
     "a14_mad_outliers": (mad_outliers, MAD_OUTLIERS),
     "a16_iqr_filter": (iqr_filter, IQR_FILTER),
@@ -244,5 +280,6 @@ QUERIES = {
     "a33_identical_rate": (identical_rate, IDENTICAL_RATE),
     "f15_hard_outlier_delete": (hard_outlier_delete, HARD_OUTLIER_DELETE),
     "j16_group_percentages": (order_value_percentages, ORDER_PCT),
+    "r7_scatter_data": (scatter_data, SCATTER_DATA),
     "o2_outlier_report": (outlier_report, OUTLIER_REPORT),
 }

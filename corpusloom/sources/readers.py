@@ -23,13 +23,16 @@ def keyed_range(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """``line_no`` (from 1) and the line of one text file.
+    """``line_no`` (from 1) and the line of a text file, or of the files of a folder in order of their names.
 
-    A line's number needs its place in the file, which only an RDD's partition order keeps; lines are numbered by partition offsets,
-    not in one task.  Carriage returns stay, as only the newline ends a line.
+    A line's number is its place within its piece of a file, which the scan's running ids tell, behind the lines of the pieces before; only a row
+    a piece is ordered.  Carriage returns stay, as only the newline ends a line.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(lines, T.StructType([T.StructField("line_no", T.LongType()), T.StructField(name, T.StringType())]))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias(name), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__id"))
+    pieces = lines.groupBy("__f", "__b").agg(F.min("__id").alias("__low"), F.count("*").alias("__n"), F.lit(1).alias("__one"))
+    before = Window.partitionBy("__one").orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("__f", "__b", "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return lines.join(starts, ["__f", "__b"]).select((F.col("__start") + F.col("__id") - F.col("__low") + 1).alias("line_no"), name)
 
 
 def zipped_lines(spark: SparkSession, left: str, right: str, names: tuple[str, str] = ("br", "pt"), start_at: int = 0) -> DataFrame:

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; in tests, where that is unset, under a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def ingest(spark: SparkSession, source: str, pattern: str, schema, target: str, key: str, files_per_batch: int = 1) -> DataFrame:
     """Reads all files that the checkpoint of ``target`` has not seen, then stops; returns the table, one row a key, the last batch's row standing.
 
@@ -37,6 +28,18 @@ def current(spark: SparkSession, target: str, key: str) -> DataFrame:
     return every.groupBy(key).agg(F.max(F.struct("batch_number", *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def compact(spark: SparkSession, target: str, key: str, number: int) -> None:
+    """Writes the table as of now as batch ``number`` (the last one that was ingested) and deletes the batches before it, so that reading stays a pass over one."""
+    merged = f"{target}/merged"
+    current(spark, target, key).withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(merged)
+    place = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(place(f"{target}/data")) if f.getPath().getName().startswith("batch=") and int(f.getPath().getName()[6:]) <= number]
+    for path in old:
+        files.delete(path, True)
+    files.rename(place(merged), place(f"{target}/data/batch={number}"))
+
+
 def sessions(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:
     """Session windows by gap; the same on a stream with a watermark and on a table."""
     return events.groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "n")

@@ -32,7 +32,7 @@ def test_same_rows_as_sql(spark, duck, tables, name):
     assert sorted(str([plain(r[c]) for c in columns]) for r in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", ["a18_funnel", "o9_ratio_split", "k8_parallel_export", "q11_fragment_merge", "j14_near_pairs"])
+@pytest.mark.parametrize("name", ["a18_funnel", "o9_ratio_split", "k8_parallel_export", "q11_fragment_merge", "j14_nearest", "j14_similar_pairs"])
 def test_partitions_do_not_matter(spark, tables, name):
     seen = set()
     for n in (1, 7):
