@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from corpusloom.functions.similarity import indel_ratio, linked_types, same_form_links, uncovered_runs
 from corpusloom.functions.text import TOKEN
@@ -104,6 +104,24 @@ def policy(f: Column) -> Column:
     return F.when(g("base_sim") < 0.2, out(F.lit(True), F.lit("low_similarity"))).when(sane, out(F.lit(False), F.lit("ok_short_high_cov"))).when(good, out(F.lit(False), F.lit("ok"))).otherwise(out(weighed, joined))
 
 
+def highlighted(text: str | None, other: str | None, links: Links = same_form_links, marks: tuple[str, str] = ("[", "]")) -> str:
+    """``text`` with marks around each run of tokens that no link to ``other`` reaches; a single unreached token between reached ones is passed over."""
+    text = text or ""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    reached = {i for i, _ in links([text[a:b] for a, b in spans], _TOKEN.findall(other or ""))}
+    out, at = [], 0
+    for first, past in uncovered_runs(len(spans), reached):
+        begin, end = spans[first][0], spans[past - 1][1]
+        out += [text[at:begin], marks[0], text[begin:end], marks[1]]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def highlighted_udf(texts: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([highlighted(a, b) for a, b in zip(texts, others)], dtype=object)
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """The best ratio of: shared words, shared and own words of either side."""
     x, y = set(a.lower().split()), set(b.lower().split())

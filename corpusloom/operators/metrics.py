@@ -100,6 +100,16 @@ def corpus_bleu(df: DataFrame, most: int = 4, tokenise: bool = False) -> DataFra
     return x.select("hyp_words", "ref_words", score(False).alias("bleu"), score(True).alias("bleu_smoothed"))
 
 
+def bleu_by_group(df: DataFrame, most: int = 4) -> DataFrame:
+    """``grp``, ``n``, ``exact`` and smoothed corpus ``bleu`` by the published rules of (id, hyp, ref, grp); a row may be in several groups, its n-grams are matched once."""
+    once = df.dropDuplicates(["id"]).select("id", bleu_tokens(F.col("hyp")).alias("hyp"), bleu_tokens(F.col("ref")).alias("ref"))
+    groups = df.select("id", "grp", (F.col("hyp") == F.col("ref")).alias("same"))
+    by_n = ngram_matches(once, most).join(groups, "id").groupBy("grp", "n").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
+    sizes = once.select("id", F.size("hyp").alias("h"), F.size("ref").alias("r")).join(groups, "id").groupBy("grp").agg(F.count("*").alias("n"), F.count_if("same").alias("exact"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    x = sizes.join(_in_order(by_n, "grp"), "grp", "left")
+    return x.select("grp", "n", "exact", F.coalesce(_score(F.col("matched"), F.col("total"), F.col("h"), F.col("r"), F.lit(most), True), F.lit(0.0)).alias("bleu"))
+
+
 def sentence_bleu(df: DataFrame, most: int = 4) -> DataFrame:
     """``id``, ``sentence_bleu`` of each (id, hyp, ref) by the published rules: smoothed, over the n-gram lengths that the hypothesis has; 0 without a match."""
     words = df.select("id", bleu_tokens(F.col("hyp")).alias("hyp"), bleu_tokens(F.col("ref")).alias("ref"))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import audit, cleaning, corpus, evaluation, files, joins, ordered, statistics
+from corpusloom.plans import audit, cleaning, corpus, evaluation, files, joins, jobs, ordered, repairs, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (statistics, cleaning, joins, corpus, evaluation, ordered, audit, files):
+    for module in (statistics, cleaning, joins, corpus, evaluation, ordered, audit, files, repairs, jobs):
         out |= module.QUERIES
     return out
 

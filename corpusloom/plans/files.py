@@ -155,6 +155,57 @@ def found_examples(spark, d):
 FOUND_EXAMPLES = "SELECT c_custkey, 0 AS place, c_name AS pt_PT, c_mktsegment AS pt_BR FROM customer"
 
 
+def domain_splits(spark, d):
+    """Documents exported by source and language, two splits of them read again without blank texts."""
+    folder = f"{shared_folder(spark, 'domains')}/documents"
+    x = documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("text")).alias("text"), F.col("source").alias("domain"), F.col("lang").alias("split"))
+    x.write.partitionBy("domain", "split").parquet(folder)
+    return readers.domain_splits(spark, folder, "text", splits=["en", "fr"]).select("doc_id", "domain", "split")
+
+
+DOMAIN_SPLITS = "SELECT doc_id, source AS domain, lang AS split FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 7 <> 0 AND trim(text) <> ''"
+
+
+def attached(spark, d):
+    """A join of tables of an attached folder by their names."""
+    readers.attach(spark, d, "src")
+    return spark.sql("SELECT r_name, count(*) AS nations FROM src_nation JOIN src_region ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+ATTACHED = "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+
+
+def third_page(spark, d):
+    """The third page of 25 customers, each page beginning behind the one before."""
+    c, last = table(spark, d, "customer").select("c_custkey", "c_name"), None
+    for _ in range(2):
+        last = readers.page(c, "c_custkey", 25, last).agg(F.max("c_custkey")).first()[0]
+    return readers.page(c, "c_custkey", 25, last)
+
+
+THIRD_PAGE = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50"
+
+
+def columns_of(spark, d):
+    for name in ("region", "nation"):
+        table(spark, d, name).createOrReplaceTempView(f"there_{name}")
+    return readers.columns_of(spark, ["there_region", "missing_table", "there_nation"])
+
+
+COLUMNS_OF = """SELECT * FROM (VALUES ('there_region', 0, 'r_regionkey', 'int'), ('there_region', 1, 'r_name', 'string'),
+  ('there_nation', 0, 'n_nationkey', 'int'), ('there_nation', 1, 'n_name', 'string'), ('there_nation', 2, 'n_regionkey', 'int')) t(name, place, "column", type)"""
+
+
+def resumed_pages(spark, d):
+    """A catalogue of customers by page of 50, of which two pages are there, goes on behind them with what it doesn't have."""
+    c = table(spark, d, "customer").select("c_custkey", F.expr("CAST((c_custkey - 1) DIV 50 + 1 AS INT)").alias("page"))
+    number, new = readers.unseen_from(c.where("page <= 2"), "page", "c_custkey", c.where("c_custkey > 90"))
+    return new.select("c_custkey", (F.col("page") >= number).alias("on_a_new_page"))
+
+
+RESUMED_PAGES = "SELECT c_custkey, true AS on_a_new_page FROM customer WHERE c_custkey > 100"
+
+
 def contiguous_ranges(spark, d):
     """Documents by the seven contiguous ranges that their ids are cut into."""
     x = documents(spark, d).select("doc_id")
@@ -197,6 +248,11 @@ QUERIES = {
     "s5_subtitles": (subtitles, SUBTITLES),
     "s7_csv_columns": (csv_columns, CSV_COLUMNS),
     "s8_json_lines": (json_lines, JSON_LINES),
+    "s10_domain_splits": (domain_splits, DOMAIN_SPLITS),
+    "s11_resumed_pages": (resumed_pages, RESUMED_PAGES),
+    "s13_attached": (attached, ATTACHED),
+    "s16_third_page": (third_page, THIRD_PAGE),
+    "s17_columns": (columns_of, COLUMNS_OF),
     "s14_first_table": (first_table, FIRST_TABLE),
     "s18_relation_summary": (relation_summary, RELATION_SUMMARY),
     "s20_found_examples": (found_examples, FOUND_EXAMPLES),

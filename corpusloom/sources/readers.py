@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -101,6 +102,49 @@ def best_of_logs(spark: SparkSession, folder: str, metric: str) -> DataFrame:
     return each.groupBy("path").agg(F.min(F.struct(F.col(f"e.`{metric}`").alias("value"), F.col("place"), F.col("e.step").alias("step"))).alias("b")).select("path", F.col("b.value").alias("best"), F.col("b.step").alias("step"))
 
 
+def domain_splits(spark: SparkSession, folder: str, text: str, domains: Sequence[str] | None = None, splits: Sequence[str] | None = None) -> DataFrame:
+    """Rows of an export that is partitioned by ``domain`` and ``split``, of all or of the given ones; blank texts are left out.  Only partitions asked for are read."""
+    df = spark.read.parquet(folder)
+    for column, wanted in (("domain", domains), ("split", splits)):
+        df = df if wanted is None else df.where(F.col(column).isin(*wanted))
+    return df.where(F.trim(text) != "")
+
+
+def attach(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """Views ``<name>_<table>`` of every Parquet table in a folder, as if it were a second database; the views' names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = sorted(f.getPath().getName() for f in files.listStatus(where) if f.getPath().getName().endswith(".parquet"))
+    for t in tables:
+        spark.read.parquet(f"{folder}/{t}").createOrReplaceTempView(f"{name}_{t.removesuffix('.parquet')}")
+    return [f"{name}_{t.removesuffix('.parquet')}" for t in tables]
+
+
+def columns_of(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """``name``, ``place`` (from 0), ``column``, ``type`` of those of the tables that are there."""
+    rows = [(n, k, f.name, f.dataType.simpleString()) for n in names if spark.catalog.tableExists(n) for k, f in enumerate(spark.table(n).schema)]
+    return spark.createDataFrame(rows, "name string, place int, column string, type string")
+
+
+def page(df: DataFrame, order: str, size: int, after=None) -> DataFrame:
+    """The next ``size`` rows in order of a unique key, behind the key ``after``: each page is a filter and a top-k, however far it is."""
+    rest = df if after is None else df.where(F.col(order) > F.lit(after))
+    return rest.orderBy(order).limit(size)
+
+
+def batches(df: DataFrame, size: int = 200_000) -> Iterator[list]:
+    """Rows in lists of at most ``size``, partition by partition; the driver holds one partition and one list."""
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    while part := list(itertools.islice(rows, size)):
+        yield part
+
+
+def unseen_from(df: DataFrame, page_column: str, key: str, new: DataFrame) -> tuple[int, DataFrame]:
+    """Where a paged load goes on: the page behind the last one, and those of ``new`` whose key isn't there yet, once each."""
+    last = df.agg(F.max(page_column)).first()[0]
+    return (last or 0) + 1, new.dropDuplicates([key]).join(df.select(key), key, "left_anti")
+
+
 # ---- examples in a model's answer -------------------------------------------------------------------------------------
 
 _PAIR = re.compile(r'"(pt_PT|pt_BR)"\s*:\s*"((?:[^"\\]|\\.)*)"\s*,\s*"(pt_PT|pt_BR)"\s*:\s*"((?:[^"\\]|\\.)*)"')
