@@ -73,6 +73,11 @@ def _specials(spec: dict) -> tuple[re.Pattern | None, dict[str, int]]:
     return (re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if ids else None), ids
 
 
+def _parted(text: str, special: re.Pattern | None, ids: dict[str, int]) -> list[str]:
+    """A text with its control strings at odd places; what all control strings begin with is looked for first."""
+    return special.split(text) if special and os.path.commonprefix([*ids]) in text else [text]
+
+
 class Merger:
     """BPE merges over strings of one-character symbols.  Many strings go through one call, joined by a symbol that is in no merge."""
 
@@ -177,7 +182,7 @@ class WordCodec:
         if len(self.words) >= MEMO:
             self.words.clear()
             self.shown.clear()
-        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(self.special.split(t))] if t and self.special and "<|" in t else [self._words(t)] if t else [] for t in texts]
+        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.special_ids))] if t else [] for t in texts]
         new = set().union(*(p for row in rows for p in row[::2])).difference(self.words)
         self._learn([*new])
         ids, shown, out = self.words.__getitem__, self.shown.__getitem__, []
@@ -242,7 +247,7 @@ class ByteCodec:
         memo = self.words
         if len(memo) >= MEMO:
             memo.clear()
-        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(self.special.split(t))] if t and self.special and "<|" in t else [self._words(t)] if t else [] for t in texts]
+        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.special_ids))] if t else [] for t in texts]
         new = [*set().union(*(p for row in rows for p in row[::2] if not isinstance(p, bytes))).difference(memo)]
         for w, ids in zip(new, self.merger([w.encode().decode("latin-1").translate(self.stand_in) for w in new])):
             memo[w] = array("I", ids).tobytes()
@@ -301,8 +306,8 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str = "text", key: str = "
     """Key, ``ids array<int>`` and ``decoded string`` of every row of ``df``.
 
     tokenizer: path of a word-end BPE vocabulary file, readable on every executor.
-    A null or empty text has no ids and an empty decoded text.  Repeated rows give repeated rows; an empty table an empty one;
-    other columns are ignored.  Control strings of the vocabulary become their ids.  Very long texts are encoded whole.
+    A null or empty text has no ids and an empty decoded text.  Repeated rows and ties give repeated rows; an empty table an empty one;
+    other columns are ignored, whatever their names.  Control strings of the vocabulary become their ids.  Very long texts are encoded whole.
     """
     kind = df.schema[key].dataType.simpleString()
 

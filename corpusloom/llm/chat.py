@@ -116,7 +116,8 @@ def read_back(formatted: DataFrame, tokenizer: str, conv: str = "conv_id") -> Da
     """What the token rows of ``format_conversations`` say: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
 
     Turns are found by the template's ids and unescaped; the loss text is what lies under the mask.  Hashes are updated turn by turn,
-    so a conversation of any length takes the memory of one turn.
+    so a conversation of any length takes the memory of one token row.  An empty table gives no rows; a null conversation id is one conversation; rows
+    are read in order of ``part``, and repeated token rows count as often as they stand there; other columns are ignored.
     """
     kind = formatted.schema[conv].dataType.simpleString()
 
@@ -170,7 +171,7 @@ def read_back(formatted: DataFrame, tokenizer: str, conv: str = "conv_id") -> Da
 
 
 def rendered(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """The formatted text of each token row, for people to read."""
+    """``formatted`` with the text of each token row, for people to read: all columns stay, in as many rows; an empty table stays empty."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_codec(tokenizer, False)

@@ -12,9 +12,10 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of ``links`` (columns ``a``, ``b`` of type long; either order, repeats and loops allowed).
 
     Each round hooks every node to the least of itself and its neighbours, shortens chains of hooks twice, and replaces both ends
-    of each link; links within a node vanish.  Links stay in tables of the workspace; the driver sees a count a round.
+    of each link; links within a node vanish.  Links stay in tables of the workspace; the driver sees a count a round.  A table without links, or
+    with loops alone, gives no rows; links with a null end count for nothing; other columns are ignored.
     """
-    edges = work.table(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = work.table(links.select("a", "b").where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     label = None
     while edges.limit(1).count():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -103,7 +103,8 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = 1024, end_id: in
 
     Each document's ids end with ``end_id``; each id lies in exactly one piece, the pieces of a sequence are gapless from offset
     0 and hold at most ``window`` tokens.  A null or empty text is the end id alone.  Repeated rows are packed one by one, ties in
-    ``doc_id`` by text; a null key comes first.  An empty table gives no pieces.  Other columns are ignored.
+    ``doc_id`` by text; a null key comes first.  Texts of any length are packed whole.  An empty table gives no pieces.  Other columns are ignored,
+    whatever their names.
 
     Rows are range-partitioned by key, so that each task has neighbours; blocks of about BLOCK_TOKENS bound its memory.  A
     sequence never spans two tasks; its id holds the task's number in the upper half.

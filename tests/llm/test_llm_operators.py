@@ -132,10 +132,12 @@ def test_chat_reads_back_what_went_in(spark):
 
 
 def test_long_conversations_go_on_in_another_row(spark, monkeypatch):
-    df = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", "word " * 9000) for k in range(20)], "conv_id long, turn long, role string, text string")
-    made = chat.format_conversations(df, BYTE)
+    rows = [(1, k, "assistant" if k % 2 else "user", f"word{k} " * 9000) for k in range(20)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTE)
     assert made.count() > 1
-    assert chat.read_back(made, BYTE).first().loss_chars == 10 * len("word " * 9000)
+    learnt, whole = "".join(r[3] for r in rows if r[1] % 2), "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
+    got = chat.read_back(made, BYTE).first()
+    assert (got.loss_chars, got.loss_sha256, got.turns_sha256, got.n_turns) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest(), 20)
 
 
 # ---- 10: n-gram join -----------------------------------------------------------------------------------------------------
@@ -228,6 +230,11 @@ def test_shingles_of_short_and_blank_texts():
     assert ngramjoin.shingle_sets([b"a b"])[0].tolist() != ngramjoin.shingle_sets([b"ab"])[0].tolist()
 
 
+def test_components_of_odd_links(spark):
+    df = spark.createDataFrame([(1, 1, "x"), (None, 2, "y"), (3, None, "z")], "a long, b long, node string")
+    assert components(df, Workspace(spark, "t")).count() == components(df.where("false"), Workspace(spark, "t")).count() == 0
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)]
@@ -729,6 +736,14 @@ def test_clashing_columns(spark):
     assert merkle.compare_with_edits(df).count() == merkle.fingerprints(df).count() == bpe.encode_texts(df, WORD).count() == 3
     assert packing.pack_documents(df, BYTE).select("doc_id").distinct().count() == 3
     assert linededup.dedup_lines(df).count() == 3
+    said = spark.createDataFrame([(1, 0, "user", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    pages = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    for c in ("c", "n", "r", "t", "ids", "part", "loss_mask", "tie", "q", "g", "b", "v", "dim", "qs", "score", "rank", "markup", "__html", "k", "fresh"):
+        said, pages, vectors = (x.withColumn(c, F.lit("clash")) for x in (said, pages, vectors))
+    assert chat.read_back(chat.format_conversations(said, BYTE), BYTE).count() == 2
+    assert html.extract_main_text(pages).where("t = 'clash' AND markup = 'clash' AND text = 'a'").count() == 1
+    assert [tuple(r) for r in topk.top_k(vectors).collect()] == [(0, 1, 1, 2 * 256 * 256)]
 
 
 def test_empty_tables(spark):
