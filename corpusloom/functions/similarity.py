@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -113,17 +114,22 @@ def as_udf(measure: Callable[[str, str], float]):
 # ---- word alignment ---------------------------------------------------------------------------------------------------
 
 
+def form(token: str) -> str:
+    """What tokens are compared by: composed, without regard to case."""
+    return unicodedata.normalize("NFC", token).casefold()
+
+
 def same_form_links(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A deterministic aligner: each token with the first unused one of the same form."""
     free: dict[str, list[int]] = {}
     for j, t in enumerate(b):
-        free.setdefault(t.casefold(), []).append(j)
-    return [(i, free[f].pop(0)) for i, t in enumerate(a) if free.get(f := t.casefold())]
+        free.setdefault(form(t), []).append(j)
+    return [(i, free[f].pop(0)) for i, t in enumerate(a) if free.get(f := form(t))]
 
 
 def linked_types(a: list[str], b: list[str], links: list[tuple[int, int]]) -> float:
     """Share of token types, of both sides together, that a link touches."""
-    left, right = [t.casefold() for t in a], [t.casefold() for t in b]
+    left, right = [form(t) for t in a], [form(t) for t in b]
     every = {*left, *right}
     touched = {left[i] for i, _ in links if 0 <= i < len(left)} | {right[j] for _, j in links if 0 <= j < len(right)}
     return len(touched) / len(every) if every else 1.0

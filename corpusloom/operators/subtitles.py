@@ -142,6 +142,14 @@ def offset(a: list[dict], b: list[dict], pairs: dict[int, tuple[int, float]], sh
     return float(gaps.median()), float(gaps.abs().max()), len(pairs) / len(a), float(marks.mean())
 
 
+def mean_offset(a: list[dict], b: list[dict], pairs: dict[int, tuple[int, float]], shift: float = 0.0) -> tuple[float, float, float, float]:
+    """(mean difference of all pairs, greatest, share of left blocks matched, mean score) in milliseconds; zeros without pairs."""
+    if not pairs:
+        return 0.0, 0.0, 0.0, 0.0
+    gaps = [a[i]["start_ms"] - shift - b[j]["start_ms"] for i, (j, _) in pairs.items()]
+    return sum(gaps) / len(gaps), max(map(abs, gaps)), len(pairs) / len(a), sum(s for _, s in pairs.values()) / len(pairs)
+
+
 def synchronise(a: list[dict], b: list[dict], close_ms: float = 50.0, plateau: int = 2, most: int = 50) -> tuple[float, dict[int, tuple[int, float]]]:
     """The shift of ``a`` that brings it into time with ``b``, and the matching then.
 

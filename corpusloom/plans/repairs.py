@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import alignment as A
 from corpusloom.functions import repair as P
+from corpusloom.functions import similarity as S
 from corpusloom.functions import text as T
+from corpusloom.operators import lexical as L
+from corpusloom.operators import relational as R
 from corpusloom.plans.views import PAIRS, documents, pairs, table
+from corpusloom.session import shared_folder
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _SQUEEZE = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -110,7 +116,42 @@ def highlights(spark, d):
     return pairs(spark, d).select("line_no", A.highlighted_udf(F.col("br"), F.col("pt")).alias("br"), A.highlighted_udf(F.col("pt"), F.col("br")).alias("pt"))
 
 
+def word_links(spark, d):
+    """How many word types of a pair are linked, by a table learnt from all pairs."""
+    p = pairs(spark, d).select("line_no", F.array_distinct(T.tokens(F.lower("br"))).alias("a"), F.array_distinct(T.tokens(F.lower("pt"))).alias("b"))
+    folder, made = shared_folder(spark, "words"), itertools.count()
+
+    def kept(df):
+        path = f"{folder}/{next(made)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    links = L.mutual_links(p, "line_no", "a", "b", L.translation_table(p, "line_no", "a", "b", kept, rounds=2))
+    return links.groupBy("line_no").agg(F.count("*").alias("links"))
+
+
+def numbers_and_keys(spark, d):
+    """Numbers in texts of all kinds, and the key of a pair."""
+    k = F.col("line_no") % 4
+    x = F.when(k == 0, F.concat(F.lit(" "), F.col("line_no").cast("string"), F.lit("\t"))).when(k == 1, "12.9").when(k == 2, "n/a")
+    return pairs(spark, d).select("line_no", T.to_int(x, -1).alias("number"), _md5(T.pair_key(F.col("br"), F.col("pt")), "key"))
+
+
+NUMBERS_AND_KEYS = f"WITH {PAIRS} SELECT line_no, CASE line_no % 4 WHEN 0 THEN line_no WHEN 1 THEN 12 ELSE -1 END AS number, md5(lower({_STRIP.format('br')}) || '||' || lower({_STRIP.format('pt')})) AS key FROM pairs"
+
+
+def scored_new_rows(spark, d):
+    """Rows that a table doesn't have yet, cleaned and scored, inserted once each."""
+    p = pairs(spark, d).select("line_no", T.clean_text(F.col("br")).alias("br"), T.clean_text(F.col("pt")).alias("pt"))
+    scored = lambda x: x.withColumn("score", F.round(S.as_udf(A.text_only_score)("br", "pt"), 6))
+    old = scored(p.where("line_no % 2 = 0"))
+    return R.insert_missing(old, scored(p.join(old.select("line_no"), "line_no", "left_anti")), "line_no").select("line_no", "score")
+
+
 QUERIES = {
+    "t23_numbers_and_keys": (numbers_and_keys, NUMBERS_AND_KEYS),
+    "t31_word_links": (word_links, None),
+    "r4_scored_new_rows": (scored_new_rows, None),
     "t3_dashes": (dashes, DASHES),
     "t4_speaker_labels": (speaker_labels, SPEAKER_LABELS),
     "t10_joins": (joins, JOINS),

@@ -112,3 +112,35 @@ def test_ingested_batches_are_compacted(spark, tmp_path):
     assert [d.name for d in (tmp_path / "out/data").iterdir()] == ["batch=2"]
     spark.createDataFrame([(0, 77)], "k long, v long").coalesce(1).write.mode("append").parquet(str(source))
     assert {r.k: r.v for r in I.ingest(spark, str(source), "*.parquet", schema, target, "k").collect()}[0] == 77
+
+
+def test_translation_table_equals_plain_counting(spark):
+    from collections import defaultdict
+
+    from corpusloom.operators import lexical as L
+
+    rows = [(1, ["a", "casa"], ["the", "house"]), (2, ["a", "casa", "azul"], ["the", "blue", "house"]), (3, ["azul", "azul"], ["blue"]), (4, [], ["x"]), (5, None, ["y"])]
+    df = spark.createDataFrame(rows, "k long, a array<string>, b array<string>")
+    keep = lambda x: x.sparkSession.createDataFrame(x.collect(), x.schema)
+    got = {(r.x, r.y): r.p for r in L.translation_table(df, "k", "a", "b", keep, 3).collect()}
+    p = defaultdict(lambda: 1.0)
+    for _ in range(3):
+        e, total = defaultdict(float), defaultdict(float)
+        for _, xs, ys in rows:
+            for y in ys:
+                whole = sum(p[x, y] for x in xs or ())
+                for x in xs or ():
+                    e[x, y] += p[x, y] / whole
+        for (x, _), v in e.items():
+            total[x] += v
+        p = {k: v / total[k[0]] for k, v in e.items()}
+    assert got == pytest.approx(p)
+    links = sorted((r.k, r.x, r.y) for r in L.mutual_links(df, "k", "a", "b", L.translation_table(df, "k", "a", "b", keep, 3)).collect())
+    assert links == [(1, "a", "house"), (2, "a", "house"), (2, "azul", "blue"), (3, "azul", "blue")]  # "a" and "casa" always stand together
+
+
+def test_mean_offset():
+    from corpusloom.operators import subtitles as U
+
+    a, b = [{"start_ms": 1000, "text": "x"}, {"start_ms": 3000, "text": "y"}], [{"start_ms": 500, "text": "x"}, {"start_ms": 3100, "text": "y"}]
+    assert U.mean_offset(a, b, {0: (0, 0.5), 1: (1, 1.0)}) == (200.0, 500, 1.0, 0.75) and U.mean_offset(a, b, {}) == (0.0, 0.0, 0.0, 0.0)
