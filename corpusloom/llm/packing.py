@@ -3,7 +3,7 @@
 Documents stay in the order of ``doc_id``.  A cut between two windows may stand at a document's end (free), at a sentence's
 end (a small penalty) or, where a sentence runs on for long, inside it (a larger one).  The cost of a window is its padding:
 none at a full window or a power of two, else what is missing to the full size.  The best cuts minimise padding plus
-penalties; the transition over all starts within a window is a sliding minimum, kept in a monotone queue.
+penalties plus a small cost of each sequence; the transition over all starts within a window is a sliding minimum, kept in a monotone queue.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from corpusloom.llm.bpe import ByteCodec, byte_codec, chunks
 BLOCK_TOKENS = 200_000
 #: Penalties, in tokens of padding, of a cut at a sentence's end and inside a sentence.
 SENTENCE_CUT, HARD_CUT = 1.0, 12.0
+#: Cost of a sequence, in tokens of padding, so that short windows at a power of two don't come for nothing.
+SEQUENCE_COST = 16.0
 #: Inside sentences longer than this, every so many tokens may be cut.
 HARD_STEP = 64
 
 
-def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
+def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int, each: float = SEQUENCE_COST) -> list[int]:
     """Indexes of the chosen places, the first and last included; neighbouring places are at most ``window`` apart.
 
-    cost(i) = penalty(i) + min over j of cost(j) + padding(places[i] - places[j]).
+    cost(i) = penalty(i) + each + min over j of cost(j) + padding(places[i] - places[j]).
     """
     n = len(places)
     where = np.full(int(places[-1]) + 1, -1, dtype=np.int64)
@@ -58,7 +60,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]
         for e in exact[i]:
             if cost[e] <= best:
                 best, j = cost[e], e
-        best += extra[i]
+        best += extra[i] + each
         cost[i], source[i] = best, j
         k = best + at[i]
         key[i] = k

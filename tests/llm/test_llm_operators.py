@@ -73,10 +73,11 @@ def test_cuts_are_the_cheapest():
         window, n = rng.choice([4, 8, 16]), rng.randrange(1, 8)
         places = np.cumsum([0] + [rng.randrange(1, window + 1) for _ in range(n)])
         penalty = np.array([0.0] + [rng.choice([0, 1, 3, 6]) for _ in range(n)])
-        cost = lambda cs: sum(padding(places[b] - places[a], window) + penalty[b] for a, b in zip(cs, cs[1:]))  # noqa: B023, E731
+        each = rng.choice([0.0, 1.0, 2.5])
+        cost = lambda cs: sum(padding(places[b] - places[a], window) + penalty[b] + each for a, b in zip(cs, cs[1:]))  # noqa: B023, E731
         every = ([0, *m, n] for r in range(n) for m in itertools.combinations(range(1, n), r))
         best = min(cost(c) for c in every if all(places[b] - places[a] <= window for a, b in zip(c, c[1:])))
-        assert cost(packing.best_cuts(places, penalty, window)) == best
+        assert cost(packing.best_cuts(places, penalty, window, each)) == pytest.approx(best)
 
 
 def test_pieces_hold_every_id_once(spark):
