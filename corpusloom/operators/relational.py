@@ -67,7 +67,7 @@ def contained_texts(df: DataFrame, key: str, text: str, needles: DataFrame, need
         if kind[0] == "w":
             w = words(F.col(text))
             return F.transform(F.array(w), lambda u: F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1), lambda k: F.xxhash64(F.lit(kind), F.array_join(F.slice(u, k, n), " ")))).otherwise(F.array().cast("array<bigint>")))[0]
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.xxhash64(F.lit(kind), F.substr(F.col(text), k, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))), lambda u: F.xxhash64(F.lit(kind), u))
 
     if not kinds:
         return needles.join(df.select(key), F.lit(False))

@@ -46,14 +46,17 @@ _BAD_SQL = {
 
 def _predicate(name):
     def q(spark, d):
-        return documents(spark, d).select("doc_id", "lang", marked_text().alias("text")).where(Q.BAD[name](F.col("text"))).select("doc_id", "lang")
+        return documents(spark, d).where(F.exists(F.array(marked_text()), Q.BAD[name])).select("doc_id", "lang")  # the text is marked once
 
     return q, f"WITH {_MARKED_DOCUMENTS} SELECT doc_id, lang FROM marked WHERE {_BAD_SQL[name]}"
 
 
 def predicate_counts(spark, d):
-    x = F.col("text")
-    return documents(spark, d).select("lang", marked_text().alias("text")).groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f(x).cast("int")).cast("long").alias(n) for n, f in Q.BAD.items()], F.sum(Q.passes(x).cast("int")).cast("long").alias("passed"))
+    """How many marked documents of each language each predicate rejects, and how many pass all; a text is marked once for all of them."""
+    flags = F.transform(F.array(marked_text()), lambda x: F.array(*[f(x) for f in Q.BAD.values()]))[0]
+    x = documents(spark, d).select("lang", flags.alias("f"))
+    counts = [F.count_if(F.col("f")[k]).alias(n) for k, n in enumerate(Q.BAD)]
+    return x.groupBy("lang").agg(F.count("*").alias("n"), *counts, F.count_if(~F.exists("f", lambda b: b)).alias("passed"))
 
 
 PREDICATE_COUNTS = f"WITH {_MARKED_DOCUMENTS} SELECT lang, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {s}) AS {n}" for n, s in _BAD_SQL.items()) + ", count(*) FILTER (WHERE NOT (" + " OR ".join(_BAD_SQL.values()) + ")) AS passed FROM marked GROUP BY lang"

@@ -98,8 +98,10 @@ def nearest(spark, d):
 
 
 def similar_pairs(spark, d):
-    """Pairs of rows whose token sets have a Jaccard of 0.75 or more, copies with the first of them only."""
-    p = pairs(spark, d).select("line_no", T.tokens(F.lower("br")).alias("t"))
+    """Pairs of rows whose token sets have a Jaccard of 0.75 or more, copies with the first of them only; every fifth row is there again without its end."""
+    p = pairs(spark, d).select("line_no", "br")
+    cut = p.where("line_no % 5 = 0").select((-F.col("line_no") - 1).alias("line_no"), F.expr("left(br, greatest(length(br) - line_no % 20, 0))").alias("br"))
+    p = p.unionByName(cut).select("line_no", T.tokens(F.lower("br")).alias("t"))
     return N.similar_pairs(p, "line_no", "t", 0.75).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -108,8 +110,9 @@ _NEAREST = f"""{PAIRS}, s AS (SELECT line_no AS k, {_TOK} AS s FROM pairs),
 j AS (SELECT a.k, max(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS j FROM s a JOIN s b ON a.k <> b.k AND len(a.s) > 0 AND len(b.s) > 0 GROUP BY a.k),
 k AS (SELECT s.k, CASE WHEN len(s.s) = 0 AND (SELECT count(*) FROM s WHERE len(s) = 0) > 1 THEN 1 ELSE coalesce(j, 0) END AS j FROM s LEFT JOIN j ON s.k = j.k)"""
 NEAREST = f"WITH {_NEAREST} SELECT k AS line_no, round(j, 6) AS nearest FROM k"
-SIMILAR_PAIRS = f"""WITH {PAIRS}, s AS (SELECT line_no AS k, list_sort({_TOK}) AS s FROM pairs), r AS (SELECT s, min(k) AS k FROM s WHERE len(s) > 0 GROUP BY s)
-SELECT r.k AS a, s.k AS b, 1.0 AS jaccard FROM s JOIN r ON s.s = r.s AND s.k <> r.k
+SIMILAR_PAIRS = f"""WITH {PAIRS}, p AS (SELECT line_no, br FROM pairs UNION ALL SELECT -line_no - 1, left(br, greatest(length(br) - line_no % 20, 0)) FROM pairs WHERE line_no % 5 = 0),
+s AS (SELECT line_no AS k, list_sort({_TOK}) AS s FROM p), r AS (SELECT s, min(k) AS k FROM s WHERE len(s) > 0 GROUP BY s)
+SELECT least(r.k, s.k) AS a, greatest(r.k, s.k) AS b, 1.0 AS jaccard FROM s JOIN r ON s.s = r.s AND s.k <> r.k
 UNION ALL SELECT a.k, b.k, round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 6) FROM r a JOIN r b ON a.k < b.k AND 100 * len(list_intersect(a.s, b.s)) >= 75 * len(list_distinct(list_concat(a.s, b.s)))"""
 
 
