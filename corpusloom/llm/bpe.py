@@ -73,9 +73,9 @@ def _specials(spec: dict) -> tuple[re.Pattern | None, dict[str, int]]:
     return (re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if ids else None), ids
 
 
-def _parted(text: str, special: re.Pattern | None, ids: dict[str, int]) -> list[str]:
-    """A text with its control strings at odd places; what all control strings begin with is looked for first."""
-    return special.split(text) if special and os.path.commonprefix([*ids]) in text else [text]
+def _parted(text: str, special: re.Pattern | None, begins: str) -> list[str]:
+    """A text with its control strings at odd places; what all of them begin with is looked for first."""
+    return special.split(text) if special and begins in text else [text]
 
 
 class Merger:
@@ -112,6 +112,7 @@ class WordCodec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special, self.special_ids = _specials(spec)
+        self.begins = os.path.commonprefix([*self.special_ids])
         self.tokens |= {i: t for t, i in self.special_ids.items()}
         self.symbols = byte_symbols()
         self.last = {s: chr(0xE000 + k) for k, s in enumerate(self.symbols)}
@@ -182,7 +183,7 @@ class WordCodec:
         if len(self.words) >= MEMO:
             self.words.clear()
             self.shown.clear()
-        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.special_ids))] if t else [] for t in texts]
+        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.begins))] if t else [] for t in texts]
         new = set().union(*(p for row in rows for p in row[::2])).difference(self.words)
         self._learn([*new])
         ids, shown, out = self.words.__getitem__, self.shown.__getitem__, []
@@ -211,6 +212,7 @@ class ByteCodec:
         self.merger = Merger(spec["model"]["vocab"], merges)
         self.stand_in = dict(enumerate(byte_symbols()))
         self.special, self.special_ids = _specials(spec)
+        self.begins = os.path.commonprefix([*self.special_ids])
         if not specials:
             self.special = None
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -247,7 +249,7 @@ class ByteCodec:
         memo = self.words
         if len(memo) >= MEMO:
             memo.clear()
-        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.special_ids))] if t else [] for t in texts]
+        rows = [[p if k % 2 else self._words(p) for k, p in enumerate(_parted(t, self.special, self.begins))] if t else [] for t in texts]
         new = [*set().union(*(p for row in rows for p in row[::2] if not isinstance(p, bytes))).difference(memo)]
         for w, ids in zip(new, self.merger([w.encode().decode("latin-1").translate(self.stand_in) for w in new])):
             memo[w] = array("I", ids).tobytes()
