@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3)
 #: The fit takes about so many documents a language, chosen by a hash of their ids, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Texts of more characters are read in pieces of so many, as n-grams take about forty bytes a character while they are summed.
+PIECE = 400_000
 UNKNOWN = "und"
 _BLANK = 32
 
@@ -81,8 +83,28 @@ def hashes(letters: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def long_total(text: str, weights: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """What ``totals`` gives for one text, piece by piece; the last letters of a piece go on to the next, so that n-grams across a cut are counted."""
+    low = text.lower()  # as a whole: a sigma's form depends on what stands beside it
+    total, carry, in_word = np.zeros(weights.shape[1]), np.zeros(0, dtype=np.uint32), True  # as after a letter: the text begins with a blank
+    columns = np.ascontiguousarray(weights.T)
+    for begin in range(0, len(low) + 1, piece):
+        part = low[begin : begin + piece] if begin else " " + low[:piece]
+        raw = np.frombuffer((part + " " * (begin + piece > len(low))).encode("utf-32-le", "replace"), dtype="<u4")
+        letter = _letters()[raw]
+        keep = letter | np.concatenate([[in_word], letter[:-1]])
+        run = np.concatenate([carry, np.where(letter, raw, np.uint32(_BLANK))[keep]])
+        for n, h in zip(GRAMS, hashes(run)):
+            new = h[max(0, len(carry) - n + 1) :]  # those that end in this piece
+            total += [column[new].sum(dtype=np.float64) for column in columns]
+        carry, in_word = run[max(0, len(run) - max(GRAMS) + 1) :], bool(letter[-1])
+    return total
+
+
 def totals(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Sum of the weight rows of each text's n-grams.  N-grams across a border are left out."""
+    if any(len(t) > PIECE for t in texts):
+        return np.concatenate([long_total(t, weights)[None] if len(t) > PIECE else totals([t], weights) for t in texts])
     letters, edges = normal_letters(texts)
     total = np.zeros((len(texts), weights.shape[1]))
     columns = np.ascontiguousarray(weights.T)
@@ -133,7 +155,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """``df`` with ``lang_pred string`` and ``score double`` (existing columns of these names are replaced).
 
     A text that is null or has no letter, or a model without languages, gives ``und`` and 0.  The score is the posterior of the predicted
-    language with equal priors; ties go to the language that sorts first.  Whole texts are read, in batches of bounded size.  Repeated rows give
+    language with equal priors; ties go to the language that sorts first.  Whole texts are read, in batches of bounded size, long ones in pieces.  Repeated rows give
     repeated rows, an empty table an empty one; other columns are kept, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -764,3 +764,20 @@ def test_empty_tables(spark):
         chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), BYTE), BYTE),
     ):
         assert made.count() == 0
+
+
+def test_long_texts_are_summed_in_pieces():
+    import tracemalloc
+
+    weights = np.random.default_rng(3).normal(size=(langid.BUCKETS, 2)).astype(np.float32)
+    odd = " !Ab\0ΑΣ Σb.. İé漢字1 ß\n"
+    for piece in (1, 2, 3, 5, len(odd) - 1, len(odd), 100):
+        assert langid.long_total(odd, weights, piece) == pytest.approx(langid.totals([odd], weights)[0], abs=1e-4)
+    text = "Some words, here. " * 200_000
+    tracemalloc.start()
+    got = langid.totals(["ab", text, "cd"], weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
+    assert got[1] / 200_000 == pytest.approx((langid.totals(["Some words, here. " * 2000], weights) / 2000)[0], rel=1e-2, abs=1e-2)
+    assert got[2] == pytest.approx(langid.totals(["cd"], weights)[0])
