@@ -139,6 +139,75 @@ def test_translation_table_equals_plain_counting(spark):
     assert links == [(1, "a", "house"), (2, "a", "house"), (2, "azul", "blue"), (3, "azul", "blue")]  # "a" and "casa" always stand together
 
 
+def test_pairs_of_words_are_not_written(spark):
+    """Rows of several pieces with repeated words: the same chances and links as by plain counting, from tables with a row for a word, not for a pair of words."""
+    import random
+    from collections import Counter, defaultdict
+
+    from corpusloom.operators import lexical as L
+
+    r = random.Random(5)
+    side = lambda name, n: [f"{name}{int(r.paretovariate(0.6)) % 60}" for _ in range(n)]
+    rows = [(k, side("x", n), side("y", m)) for k, (n, m) in enumerate([(30, 120), (450, 210), (5, 401), (201, 3), (0, 4), (7, 0)] + [(6, 25)] * 20)]
+    rows += [(90, None, ["y1"]), (91, ["x1"], None)]
+    df, written = spark.createDataFrame(rows, "k long, a array<string>, b array<string>"), []
+
+    def keep(x):
+        got = x.collect()
+        written.append(len(got))
+        return x.sparkSession.createDataFrame(got, x.schema)
+
+    pieces = [(k, Counter((a or [])[i : i + L.LONGEST]), Counter((b or [])[i : i + L.LONGEST])) for k, a, b in rows for i in (0, 200, 400)]
+    p = defaultdict(lambda: 1.0)
+    for _ in range(2):
+        e, total = defaultdict(float), Counter()
+        for _, xs, ys in pieces:
+            for y, d in ys.items():
+                whole = sum(p[x, y] * c for x, c in xs.items())
+                for x, c in xs.items():
+                    e[x, y] += d * p[x, y] * c / whole
+        for (x, _), v in e.items():
+            total[x] += v
+        p = {k: v / total[k[0]] for k, v in e.items()}
+    least = sorted(p.values())[-60]
+    chances = L.translation_table(df, "k", "a", "b", keep, 2, least)
+    assert max(written) <= 60 and len(written) == 3  # totals twice, chances once
+    assert {(x.x, x.y): x.p for x in chances.collect()} == pytest.approx({k: v for k, v in p.items() if v >= least})
+    assert {(x.x, x.y): x.p for x in L.translation_table(df, "k", "a", "b", keep, 2).collect()} == pytest.approx(p)
+    wanted = set()
+    for k in {k for k, _, _ in pieces}:
+        seen = {(x, y): round(p[x, y], 12) for j, xs, ys in pieces if j == k for x in xs for y in ys if round(p[x, y], 12) >= round(least, 12)}
+        of_x = {x: min((-v, y) for (z, y), v in seen.items() if z == x)[1] for x, _ in seen}
+        of_y = {y: min((-v, x) for (x, z), v in seen.items() if z == y)[1] for _, y in seen}
+        wanted |= {(k, x, y) for x, y in of_x.items() if of_y[y] == x}
+    assert {(x.k, x.x, x.y) for x in L.mutual_links(df, "k", "a", "b", chances, round(least, 12)).collect()} == wanted and wanted
+
+
+def test_blocks_of_words_whatever_their_sizes(monkeypatch):
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.operators import lexical as L
+
+    r = np.random.default_rng(4)
+    sides = [[(r.zipf(1.4, n) % 50).astype(np.int64) for n in r.integers(0, most, 80)] for most in (9, 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(s, pa.list_(pa.int64())) for s in sides], ["a", "b"])
+    found = []
+    for at_once, alone, dealt in ((10**6, 10**6, 10**6), (10**6, 0, 500), (50, 10, 40), (3, 2, 1)):
+        for name, n in (("AT_ONCE", at_once), ("ALONE", alone), ("DEALT_AT_ONCE", dealt)):
+            monkeypatch.setattr(L, name, n)
+        e = {}
+        for block in (0, 1):
+            parts = [pickle.loads(x["what"][0].as_py()) for x in L._dealt([0, 1])(iter([batch])) if x["block"][0].as_py() == block]
+            for xs, x, y, n in L._learnt(parts, lambda xs: [xs + 2.0], 2):
+                assert not e.keys() & set(zip(xs[x].tolist(), y.tolist()))
+                e |= zip(zip(xs[x].tolist(), y.tolist()), n.tolist())
+        found.append(e)
+    assert len(found[0]) > 300 and all(x == pytest.approx(found[0]) for x in found)
+
+
 def test_mean_offset():
     from corpusloom.operators import subtitles as U
 
