@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import ByteCodec, byte_codec, chunks
+from corpusloom.llm.bpe import ByteCodec, byte_codec, slices
 
 #: Tokens that one run of the dynamic programme takes together; a block ends with a document.
 BLOCK_TOKENS = 200_000
@@ -84,7 +84,7 @@ class _Ends:
             self.start[i] = b[:1] in (b" ", b"\n", b"\t")
 
 
-def plan(lengths: list[int], ids: np.ndarray, ends: _Ends, window: int) -> np.ndarray:
+def plan(lengths: np.ndarray, ids: np.ndarray, ends: _Ends, window: int) -> np.ndarray:
     """Places of all cuts in one block, from 0 to its number of tokens."""
     total = len(ids)
     penalty = np.full(total + 1, np.inf)
@@ -118,52 +118,51 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = 1024, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_codec(tokenizer, specials)
         ends = _Ends(codec, end_id)
-        end = np.array([end_id], dtype="<u4").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
-        keys: list = []
-        parts: list[bytes] = []
-        held = 0
-
-        def solve() -> pa.RecordBatch:
-            nonlocal sequence, held
-            whole = b"".join(parts)
-            lengths = [len(p) // 4 for p in parts]
-            cuts = plan(lengths, np.frombuffer(whole, dtype="<u4").astype(np.int64), ends, window)
+
+        def solve(keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            nonlocal sequence
+            cuts = plan(lengths, ids, ends, window)
             begins = np.concatenate([[0], np.cumsum(lengths)])
             edges = np.union1d(cuts, begins)
             lo, hi = edges[:-1], edges[1:]
             doc = np.searchsorted(begins, lo, side="right") - 1
             seq = np.searchsorted(cuts, lo, side="right") - 1
+            tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(4 * edges), pa.py_buffer(ids)])
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([keys[d] for d in doc.tolist()], batch_type),
+                    keys.take(pa.array(doc)),
                     pa.array(lo - begins[doc], pa.int64()),
                     pa.array(hi - lo, pa.int64()),
-                    pa.array([whole[4 * a : 4 * b] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()),
-                    pa.array(np.asarray(lengths)[doc], pa.int64()),
+                    tokens.cast(pa.binary()),
+                    pa.array(lengths[doc], pa.int64()),
                     pa.array(sequence + seq, pa.int64()),
                     pa.array(lo - cuts[seq], pa.int64()),
                 ],
                 ["k", "start", "length", "token_bytes", "doc_tokens", "sequence_id", "offset"],
             )
             sequence += len(cuts) - 1
-            keys.clear()
-            parts.clear()
-            held = 0
             return out
 
+        held = None  # keys, lengths and ids of documents that don't fill a block yet
         for batch in batches:
-            batch_type = batch.schema.field("k").type
-            for part, texts in chunks(batch, "t"):
-                for k, got in zip(part["k"].to_pylist(), codec.encode_many(texts)):
-                    keys.append(k)
-                    parts.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= BLOCK_TOKENS:
-                        yield solve()
-        if parts:
-            yield solve()
+            for part in slices(batch, "t"):
+                got, counts = codec.encode_column(part["t"])
+                keys, lengths = part["k"], counts + 1
+                ids = np.full(len(got) + len(counts), end_id, "<u4")
+                inner = np.ones(len(ids), bool)
+                inner[np.cumsum(lengths) - 1] = False
+                ids[inner] = got
+                if held:
+                    keys, lengths, ids = pa.concat_arrays([held[0], keys]), np.concatenate([held[1], lengths]), np.concatenate([held[2], ids])
+                done, begin, to = 0, 0, np.cumsum(lengths)
+                while (k := int(np.searchsorted(to, begin + BLOCK_TOKENS))) < len(to):
+                    yield solve(keys[done : k + 1], lengths[done : k + 1], ids[begin : to[k]])
+                    done, begin = k + 1, int(to[k])
+                held = (keys[done:], lengths[done:], ids[begin:]) if done < len(to) else None
+        if held:
+            yield solve(*held)
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions("k", "t")
     schema = f"k {kind}, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"

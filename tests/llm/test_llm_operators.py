@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,41 @@ def test_byte_codec_equals_the_library():
         assert codec.decode_bytes(ids).decode() == (t or "")
 
 
+def words_of_syllables(rng, n):
+    syllables = ["ing", "tion", "the", "er", "ä", "ß", "que", "ment", "sch", "ó", "an", "wh", "eau", "ly"]
+    return " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 6))) for _ in range(n))
+
+
+def test_columns_of_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    signs = ["'s", "'re", "'ll", "'l", "'ve", "'d", "'t", "'m", "'", "''", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "a", "Zs", "é", "ĳ", "²", "12", "½", ".", "-", "ȿ", "ɀ", "ɐ", "’", "日", "<|"]
+    mixed = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(5000)]
+    texts = [*ODD, *noise(rng), *mixed, *(words_of_syllables(rng, 300) for _ in range(20))]
+    lib, codec = Tokenizer.from_file(BYTE), bpe.ByteCodec(BYTE)
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size, memo in ((bpe.BATCH_CHARS, bpe.MEMO), (40, bpe.MEMO), (400, 50)):
+        monkeypatch.setattr(bpe, "BATCH_CHARS", size)
+        monkeypatch.setattr(bpe, "MEMO", memo)
+        for column in (pa.array(["before", *texts, "behind"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+            ids, counts = codec.encode_column(column)
+            assert counts.tolist() == [*map(len, want)]
+            assert ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in codec.encode_column(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_plain_columns_are_not_encoded_word_by_word(monkeypatch):
+    codec = bpe.ByteCodec(BYTE)
+    texts = [words_of_syllables(random.Random(7), 2000), "it's a plain\ntext, of 1990", None]
+    want = codec.encode_many(texts)
+    monkeypatch.setattr(bpe, "Merger", None)
+    monkeypatch.setattr(bpe.ByteCodec, "encode_many", None)
+    ids, counts = (again := bpe.ByteCodec(BYTE)).encode_column(pa.array(texts))
+    assert ids.tobytes() == b"".join(want) and counts.tolist() == [len(w) // 4 for w in want]
+    assert again.known and not again.words
+
+
 def test_no_merge_crosses_a_cut():
     codec = bpe.word_codec(WORD)
     assert any(len(codec.fragments(w)) > 1 for w in ("qzxqj", "zqx", "xqzwv"))
@@ -108,6 +144,39 @@ def test_pieces_hold_every_id_once(spark):
     assert pad < 0.05 * total
 
 
+def test_blocks_end_with_the_document_that_fills_them(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 500)
+    rng = random.Random(8)
+    texts = [None, *(words_of_syllables(rng, rng.choice([1, 30, 700])) for _ in range(60)), "日本 end"]
+    codec = bpe.byte_codec(BYTE)
+    blocks, block = [], []
+    for k, ids in enumerate(codec.encode_many(texts)):
+        block.append((k, [*np.frombuffer(ids, "<u4").tolist(), 0]))
+        if sum(len(x) for _, x in block) >= 500 or k == len(texts) - 1:
+            blocks.append(block)
+            block = []
+    want, before = set(), 0
+    for block in blocks:
+        ids = np.array([i for _, x in block for i in x])
+        cuts = packing.plan(np.array([len(x) for _, x in block]), ids, packing._Ends(codec, 0), 128).tolist()
+        at = 0
+        for k, x in block:
+            edges = sorted({at, at + len(x), *(c for c in cuts if at < c < at + len(x))})
+            for a, b in zip(edges, edges[1:]):
+                s = max(i for i, c in enumerate(cuts) if c <= a)
+                want.add((k, a - at, b - a, ids[a:b].astype("<u4").tobytes(), len(x), before + s, a - cuts[s]))
+            at += len(x)
+        before += len(cuts) - 1
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = packing.pack_documents(docs(spark, texts), BYTE, window=128).select("doc_id", "start", "length", "token_bytes", "doc_tokens", "sequence_id", "offset").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(blocks) > 5 and len(rows) == len(want)
+    assert {(*r[:3], bytes(r[3]), *r[4:]) for r in rows} == want
+
+
 # ---- 3: chat -----------------------------------------------------------------------------------------------------------
 
 
