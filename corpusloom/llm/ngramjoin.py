@@ -422,7 +422,7 @@ def near_duplicates(df: DataFrame, similar: int = SIMILAR, key: str = "doc_id",
     if not 20 <= similar <= 100 or similar != int(similar):
         raise ValueError("similar is a whole number from 20 to 100")
     spark = df.sparkSession
-    work = Workspace(spark, "ngramjoin")
+    work = Workspace(spark, "ngramjoin", few_files=True)
     raw = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
     rows = raw.count()
     bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], int(SKETCH_PER_DOC * rows).bit_length()))

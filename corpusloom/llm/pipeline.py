@@ -56,7 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are linked with none and stay; rows with a null id take no part and stay; texts of any length are read whole; an empty table gives none;
     columns other than those of documents are dropped.
     """
-    work = Workspace(spark, "near-duplicates")
+    work = Workspace(spark, "near-duplicates", few_files=True)
     rows = docs.select(COLUMNS).withColumn("row", F.col("doc_id"))
     with_id = docs.where(F.col("doc_id").isNotNull())
     repeated = with_id.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
@@ -88,7 +88,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, one written table after the other; what the last one reads stays until the driver's process ends."""
-    work = Workspace(spark, "pipeline")
+    work = Workspace(spark, "pipeline", few_files=True)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         kept = work.table(stage(spark, docs, sf_dir))

@@ -1,7 +1,9 @@
 """The pipeline's stages against what each is meant to do to its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from corpusloom.llm import ngramjoin
+from corpusloom.llm import ngramjoin, workspace
 from corpusloom.llm.queries import op9_quality
 
 
@@ -43,3 +45,22 @@ def test_repeated_ids_with_different_texts(spark, tables):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
     pieces = corpus_pipeline.packing_stage(spark, kept, tables).collect()
     assert {r.doc_id for r in pieces} >= {1, 2, 3, 4}
+
+
+def test_many_partitions_make_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_folder", lambda _: f"file://{tmp_path}")
+    most = workspace.WAVES * spark.sparkContext.defaultParallelism
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(k, text(k // 2) if k % 3 else None, "en", "s", 0) for k in range(300)] + [(7, text("x"), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(100)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    seen, wanted = set(), []
+    for k, t, *_ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        if t is None or t not in seen:
+            wanted.append((k, t))
+        seen.add(t)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, wanted))
+    written = [len([*d.glob("part-*")]) for d in tmp_path.glob("*/*") if d.is_dir()]
+    assert written and max(written) <= most
+    numbered = workspace.Workspace(spark, "t", few_files=True).table(spark.range(1000).repartition(100).withColumn("row", F.monotonically_increasing_id()))
+    assert numbered.select("row").distinct().count() == 1000 and len(numbered.inputFiles()) <= most
